@@ -1 +1 @@
-
+"""DataFrame operators of the attribution pipeline."""

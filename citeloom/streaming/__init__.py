@@ -1 +1 @@
-
+"""Streaming extensions (the batch pipeline has none)."""
