@@ -18,7 +18,7 @@ LEXICAL = "judge:lexical"
 
 def best_overlap(tokens: Column, snippets: Column) -> Column:
     """``struct<overlap, snippet>`` of the first snippet with the largest share of the claim's tokens; empty at none."""
-    scored = F.transform(snippets, lambda s, i: F.struct((F.size(F.array_intersect(tokens, tx.token_set(s))) / F.size(tokens)).alias("overlap"), (-i).alias("first"), s.alias("snippet")))
+    scored = F.transform(snippets, lambda s, i: F.struct(F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, tx.token_set(s))), F.size(tokens)), F.lit(0.0)).alias("overlap"), (-i).alias("first"), s.alias("snippet")))
     top = F.array_max(F.transform(scored, lambda x: F.struct(x.overlap.alias("overlap"), x["first"].alias("first"))))
     text = F.element_at(snippets, (1 - top["first"]).cast("int"))
     return F.struct(F.coalesce(top.overlap, F.lit(0.0)).alias("overlap"), F.when(top.overlap > 0, text).otherwise("").alias("snippet"))

@@ -14,8 +14,8 @@ from citeloom.operators.judge import VERDICTS
 
 
 def valid_labels(labels: DataFrame) -> DataFrame:
-    """``(ord, claim_id, verdict, labeler)`` with spellings trimmed and lowered and only the five verdicts."""
-    rows = labels.select("ord", "claim_id", F.lower(F.trim("verdict")).alias("verdict"), F.lower(F.trim("labeler")).alias("labeler"))
+    """``(ord, claim_id, verdict, labeler, rationale)`` with spellings trimmed and lowered and only the five verdicts."""
+    rows = labels.select("ord", "claim_id", F.lower(F.trim("verdict")).alias("verdict"), F.lower(F.trim("labeler")).alias("labeler"), F.coalesce("rationale", F.lit("")).alias("rationale"))
     return rows.where(F.col("verdict").isin(VERDICTS) & F.col("claim_id").isNotNull() & F.col("labeler").isNotNull())
 
 
