@@ -43,7 +43,7 @@ _ASIDE = re.compile(r"^(?:sorry,? )?(?:no|non|nein|désolé|いいえ|不)[\s,.!
 FUNCTION_WORDS = {
     "en": "the of and to in was were is are for by with from at its it on had has which while after before despite according first their than more what how why when did does who that this under during not",
     "de": "der die das und von den dem des im in mit für auf ist war wurde wurden nicht zu nach bei eine einen einem ein über unter durch wie als um seit während laut dann davon pro hat hatte welche wann warum gehört noch am zum zur",
-    "fr": "le la les de des du et en un une à au aux dans pour par sur est était a été ne pas que qui avant après selon pendant dont contre plus ce cette son sa ses près quand quelle combien pourquoi depuis malgré n'a l'exploitant d'un",
+    "fr": "le la les de des du et en un une à au aux dans pour par sur est était a été ne pas que qui avant après selon pendant dont contre plus ce cette son sa ses près quand quel quelle combien pourquoi depuis malgré n'a l'exploitant d'un",
     "es": "el la los las de del y en un una por para con se su sus al no que fue según tras durante desde antes frente sobre primera vez pese hasta más cuando qué cuál cuántos quién dónde lo está sigue hay",
 }
 _LANGUAGE = {}
@@ -192,7 +192,7 @@ def defects(answer: str | None, question: str | None, error: str | None = None)
         said = _QUOTED.sub(" ", _MARK.sub("", text))
         asked, strength = language(question)
         told, sure = language(said)
-        if asked and told and told != asked and sure >= (2 if len(said) > 40 or asked in ("zh", "ja") or told in ("zh", "ja") else 1) and strength > 0:
+        if asked and told and told != asked and sure >= 2 and strength > 0:
             found.append("wrong_language")
     return found
 

@@ -51,6 +51,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     places = met.join(broadcast_if_small(prefixes, 40), "h").withColumn("from", F.col("pos") - F.col("offset"))
     places = places.where((F.col("from") >= 0) & (F.col("from") + run <= F.col("n"))).select("doc", "item", "start", "from")
     # exact check of the words in place
-    passages = item_words.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - run)).alias("start")).select("item", "start", F.slice("w", F.col("start") + 1, F.lit(run)).alias("passage"))
+    passages = item_words.where(F.size("w") >= run).select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - run)).alias("start")).select("item", "start", F.slice("w", F.col("start") + 1, F.lit(run)).alias("passage"))
     hits = doc_words.join(places, "doc").select("doc", "item", "start", F.slice("w", F.col("from") + 1, F.lit(run)).alias("found")).join(passages, ["item", "start"]).where("found = passage")
     return hits.groupBy("doc", "item").agg(F.countDistinct("start").alias("runs")).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "runs")
