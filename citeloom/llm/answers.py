@@ -41,10 +41,10 @@ _ASIDE = re.compile(r"^(?:sorry,? )?(?:no|non|nein|désolé|いいえ|不)[\s,.!
 
 # Frequent words that tell languages in Latin script apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in was were is are for by with from at its it on had has which while after before despite according first their than more what how why when did does who that this under during not",
+    "en": "a every mostly up down year within between until because through the of and to in was were is are for by with from at its it on had has which while after before despite according first their than more what how why when did does who that this under during not",
     "de": "der die das und von den dem des im in mit für auf ist war wurde wurden nicht zu nach bei eine einen einem ein über unter durch wie als um seit während laut dann davon pro hat hatte welche wann warum gehört noch am zum zur",
     "fr": "le la les de des du et en un une à au aux dans pour par sur est était a été ne pas que qui avant après selon pendant dont contre plus ce cette son sa ses près quand quel quelle combien pourquoi depuis malgré n'a l'exploitant d'un",
-    "es": "el la los las de del y en un una por para con se su sus al no que fue según tras durante desde antes frente sobre primera vez pese hasta más cuando qué cuál cuántos quién dónde lo está sigue hay",
+    "es": "a sin cerca finales resto el la los las de del y en un una por para con se su sus al no que fue según tras durante desde antes frente sobre primera vez pese hasta más cuando qué cuál cuántos quién dónde lo está sigue hay",
 }
 _LANGUAGE = {}
 for _lang, _words in FUNCTION_WORDS.items():
@@ -76,17 +76,18 @@ def scripts(text: str) -> dict[str, int]:
     return count
 
 
-def language(text: str) -> tuple[str, float]:
-    """(language, strength of the evidence); ("", 0) where nothing tells."""
+def language(text: str) -> tuple[str, dict[str, float]]:
+    """(language, evidence by language); "" where nothing tells."""
     by = scripts(text)
     if not by:
-        return "", 0.0
+        return "", {}
     if by.get("kana", 0) >= 2:
-        return "ja", float(by["kana"])
+        return "ja", {"ja": float(by["kana"])}
     latin = by.pop("latin", 0)
     if by and sum(by.values()) * 2 >= latin:
         top = max(by, key=by.get)
-        return {"han": "zh", "kana": "ja", "arabic": "ar", "devanagari": "hi", "thai": "th", "cyrillic": "ru", "hangul": "ko"}[top], float(by[top])
+        lang = {"han": "zh", "kana": "ja", "arabic": "ar", "devanagari": "hi", "thai": "th", "cyrillic": "ru", "hangul": "ko"}[top]
+        return lang, {lang: float(by[top])}
     score = dict.fromkeys(FUNCTION_WORDS, 0.0)
     low = _low(text)
     for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", low):
@@ -99,8 +100,18 @@ def language(text: str) -> tuple[str, float]:
         if any(s in low for s in signs):
             score[lang] += 1
     best = max(score, key=score.get)
-    second = max(v for k, v in score.items() if k != best)
-    return (best, score[best] - second) if score[best] >= 1 and score[best] > second else ("", 0.0)
+    return (best if score[best] >= 1 and score[best] > max(v for k, v in score.items() if k != best) else ""), score
+
+
+def _other_language(question: str, answer: str) -> bool:
+    """Is the answer clearly in another language? In one script by function words, else by the script."""
+    asked, wanted = language(question)
+    told, said = language(answer)
+    if not asked or not told or asked == told:
+        return False
+    if asked in wanted and asked not in FUNCTION_WORDS and told in FUNCTION_WORDS:
+        return said[told] >= 1
+    return said[told] - said.get(asked, 0.0) >= 1.5
 
 
 def _refuses(text: str) -> bool:
@@ -189,10 +200,7 @@ def defects(answer: str | None, question: str | None, error: str | None = None)
     if _breaks_off(text):
         found.append("truncated")
     if question and not found and not _UNIT_ONLY.match(_MARK.sub("", text).strip()):
-        said = _QUOTED.sub(" ", _MARK.sub("", text))
-        asked, strength = language(question)
-        told, sure = language(said)
-        if asked and told and told != asked and sure >= 2 and strength > 0:
+        if _other_language(question, _QUOTED.sub(" ", _MARK.sub("", text))):
             found.append("wrong_language")
     return found
 
