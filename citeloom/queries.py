@@ -293,3 +293,160 @@ _NOT_QUERIES = {"table", "stage", "queries", "oracle_sql"}
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_" and n not in _NOT_QUERIES}
     return own | {f"fault_{n.replace('-', '_')}": _fault(n) for n in faults.FAULTS}
+
+
+# -- SQL ----------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+_NEG = ", ".join(f"'{w}'" for w in tx.NEGATIONS)
+_VALID = ", ".join(f"'{v}'" for v in judge.VERDICTS)
+_WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _sql_tokens(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: t NOT IN ({_STOP}))"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _sql_sentences(x: str) -> str:
+    """Hide the points of abbreviations, mark the boundaries, split, restore: RE2 has no look-around."""
+    short = "|".join(a.replace(".", r"\.") for a in tx.ABBREVIATIONS)
+    hide = rf"""(^|{_WS})([(\["'']{{0,3}}(?:(?i:{short})|\pL|(?i:(?:[a-z]\.){{1,6}}[a-z]))[(\["'']{{0,3}})\.({_WS})"""
+    hidden = f"regexp_replace({x}, '{hide}', '\\1\\2' || chr(1) || '\\3', 'g')"
+    hidden = f"regexp_replace({hidden}, '{hide}', '\\1\\2' || chr(1) || '\\3', 'g')"
+    marked = rf"""regexp_replace({hidden}, '([.!?]){_WS}+([\p{{Lu}}\p{{Nd}}"''(\[“‘])', '\1' || chr(2) || '\2', 'g')"""
+    return f"list_filter(list_transform(string_split({marked}, chr(2)), lambda s: {_sql_strip('replace(s, chr(1), ' + chr(39) + '.' + chr(39) + ')')}), lambda s: s <> '')"
+
+
+def _sql_numbers(x: str) -> str:
+    one = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '%$', ''), '(\.\d*?)0+$', '\1'), '\.$', ''), '^(-?)0+(\d)', '\1\2')"
+    return f"list_distinct(list_transform(regexp_extract_all({x}, '-?[0-9]+(?:\\.[0-9]+)?%?'), lambda n: CASE WHEN {one} = '-0' THEN '0' ELSE {one} END))"
+
+
+def _sql_norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sql_bare(x: str) -> str:
+    gone = rf"regexp_replace({x}, '\[(\d+(?:\s*,\s*\d+)*)\]', '', 'g')"
+    tidy = rf"regexp_replace({gone}, '{_WS}+([.,;:!?])', '\1', 'g')"
+    return _sql_strip(f"regexp_replace({tidy}, '{_WS}{{2,}}', ' ', 'g')")
+
+
+def _sql_markers(x: str) -> str:
+    groups = rf"regexp_extract_all({x}, '\[(\d+(?:\s*,\s*\d+)*)\]', 1)"
+    nums = f"list_transform(regexp_split_to_array(array_to_string({groups}, ','), '\\s*,\\s*'), lambda n: TRY_CAST(n AS INTEGER))"
+    kept = f"list_filter({nums}, lambda n: n IS NOT NULL)"
+    return f"list_filter({kept}, lambda n, i: list_position({kept}, n) = i)"
+
+
+def oracle_sql() -> dict[str, str]:
+    labels = f"""
+      l AS (SELECT ord, claim_id, lower(trim(verdict)) AS verdict, lower(trim(labeler)) AS labeler FROM labels
+        WHERE lower(trim(verdict)) IN ({_VALID}) AND claim_id IS NOT NULL AND labeler IS NOT NULL)"""
+    kinds = """
+      h AS (SELECT claim_id, arg_max(verdict, ord) AS human FROM l WHERE labeler LIKE 'human%' GROUP BY 1),
+      j AS (SELECT claim_id, arg_max(verdict, ord) AS judge FROM l WHERE labeler = 'judge:lexical' GROUP BY 1),
+      c AS (SELECT human, judge, count(*) AS n FROM h JOIN j USING (claim_id) GROUP BY 1, 2)"""
+    cl = """
+      raw AS (SELECT ord, question_id, engine, citations, unnest(claims) AS c, unnest(range(len(claims))) AS claim_index FROM answers),
+      cl AS (SELECT ord, question_id, engine, claim_index, c.id AS claim_id, coalesce(c.text, '') AS text, coalesce(c.citation_ids, []) AS ids, coalesce(citations, []) AS cits FROM raw),
+      ce AS (SELECT claim_id, arg_max(struct_pack(engine := engine, question_id := question_id), struct_pack(ord := ord, i := claim_index)) AS s FROM cl GROUP BY 1),
+      e AS (SELECT claim_id, s.engine AS engine, s.question_id AS question_id FROM ce)"""
+    snippets = "list_transform(list_filter(list_transform(ids, lambda i: list_filter(cits, lambda c: c.id = i)), lambda x: len(x) > 0), lambda x: coalesce(x[1].snippet, ''))"
+    qs = "q AS (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1)"
+    counts = ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in judge.VERDICTS)
+    scores = f"""count(*) AS n, {counts}, round(count(*) FILTER (verdict = 'supported') / count(*), 6) AS strict,
+      round((count(*) FILTER (verdict = 'supported') + 0.5 * count(*) FILTER (verdict = 'partial')) / count(*), 6) AS lenient, round(count(*) FILTER (verdict = 'uncited') / count(*), 6) AS uncited_rate"""
+    said = ", ".join(f"count(*) FILTER (verdict = '{v}') AS said_{v}" for v in judge.VERDICTS)
+    mix = ", ".join(f"count(*) FILTER (verdict = '{v}')::BIGINT AS {v}" for v in judge.VERDICTS)
+    cov = f"CASE WHEN {_sql_norm('x')} = '' THEN false WHEN regexp_full_match({_sql_norm('x')}, '[0-9 ]+') THEN contains(' ' || {_sql_norm('answer')} || ' ', ' ' || {_sql_norm('x')} || ' ') ELSE contains({_sql_norm('answer')}, {_sql_norm('x')}) END"
+    comp = f"""{qs}, m AS (SELECT a.ord, a.engine, coalesce(answer_text, '') AS answer, aspects FROM answers a JOIN q ON q.id = a.question_id WHERE len(aspects) > 0),
+      s AS (SELECT ord, engine, len(aspects) AS n_aspects, list_filter(aspects, lambda x: NOT {cov}) AS missed_list FROM m)"""
+    chunks = f"""
+      w AS (SELECT doc_index, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM corpus),
+      ww AS (SELECT doc_index, w, width, unnest(range(0, greatest(0, ceil((len(w) - width) / (width - 20.0))::INT) + 1)) AS chunk_index FROM w, (SELECT unnest([60, 90]) AS width) WHERE len(w) > 0),
+      ch AS (SELECT width AS chunk_words, doc_index, chunk_index, array_to_string(w[chunk_index * (width - 20) + 1 : chunk_index * (width - 20) + width], ' ') AS text FROM ww)"""
+    bm = f"""{chunks},
+      t AS (SELECT doc_index, chunk_index, {_sql_tokens('text')} AS t FROM ch WHERE chunk_words = 90),
+      st AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM t),
+      p AS (SELECT doc_index, chunk_index, len(t) AS len, unnest(t) AS term FROM t),
+      tf AS (SELECT term, doc_index, chunk_index, len, count(*) AS tf FROM p GROUP BY ALL),
+      df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+    hits = f"""{bm}, {qs},
+      qt AS (SELECT id AS qid, unnest({_sql_tokens('text')}) AS term FROM q WHERE ord % 20 = 0), qm AS (SELECT qid, term, count(*) AS m FROM qt GROUP BY 1, 2),
+      sc AS (SELECT qid, doc_index, chunk_index, round(sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len, 1) / avg_len))), 6) AS score
+        FROM tf JOIN qm USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2, 3),
+      r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_index, chunk_index) AS rank FROM sc WHERE score > 0)"""
+    toks = lambda x: f"list_distinct({_sql_tokens(x)})"
+    lines = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{0085}\\x{2028}\\x{2029}]"
+    furniture = "|".join(ingest.BOILERPLATE)
+    footers = ", ".join(f"'{x}'" for x in ingest.FOOTERS)
+    return {
+        "text_tokens": f"SELECT doc_index, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INT AS n_all, len({_sql_tokens('text')})::INT AS n_content, len({toks('text')})::INT AS n_distinct FROM corpus",
+        "text_sentences": f"WITH s AS (SELECT doc_index, {_sql_sentences('text')} AS s FROM corpus) SELECT doc_index, unnest(range(len(s)))::INT AS pos, unnest(s) AS sentence FROM s",
+        "text_numbers": f"WITH {cl} SELECT ord, claim_index::INT AS claim_index, array_to_string(list_sort({_sql_numbers('text')}), ',') AS numbers, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ({_NEG}))) > 0 AS negated FROM cl",
+        "text_markers": f"SELECT ord, array_to_string({_sql_markers('answer_text')}, ',') AS markers, {_sql_bare('answer_text')} AS bare FROM answers WHERE answer_text IS NOT NULL",
+        "text_normalised": f"SELECT ord, {_sql_norm('coalesce(answer_text, ' + chr(39) * 2 + ')')} AS normalised FROM answers",
+        "content_ids": f"WITH c AS (SELECT ord, unnest(citations) AS c, unnest(range(len(citations)))::INT AS pos FROM answers) SELECT ord, pos, 'c_' || left(sha1(coalesce(c.url, '') || '|' || {_sql_strip('coalesce(c.snippet, ' + chr(39) * 2 + ')')}), 12) AS citation_id FROM c",
+        "ingest_clean": f"""
+          WITH a AS (SELECT doc_id, regexp_split_to_array(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '{lines}') AS l FROM documents),
+          b AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: lower(regexp_replace({_sql_strip('x')}, ':+$', '')) IN ({footers})), true) AS f FROM a),
+          c AS (SELECT doc_id, list_filter(list_transform(CASE WHEN f > 0 THEN l[1 : f - 1] ELSE l END, lambda x: {_sql_strip("regexp_replace(x, '(?i)[[]\\s*(?:[0-9]+|citation needed|clarification needed|sic)\\s*[]]', '', 'g')")}), lambda x: len(x) >= 25 AND NOT regexp_matches(lower(x), '^(?:{furniture})')) AS k FROM b),
+          d AS (SELECT doc_id, {_sql_strip(f"regexp_replace(array_to_string(k, ' '), '{_WS}+', ' ', 'g')")} AS text FROM c)
+          SELECT doc_id, text, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::INT AS n_words, len(list_filter(string_split(text, ' '), lambda x: x <> '')) < 60 AS thin FROM d""",
+        "ingest_near_pairs": f"""
+          WITH s AS (SELECT min(doc_index) AS d, t FROM (SELECT doc_index, list_sort({toks('text')}) AS t FROM corpus) WHERE len(t) > 0 GROUP BY t),
+          x AS (SELECT d, len(t) AS n, unnest(t) AS k FROM s),
+          p AS (SELECT a.d AS a, b.d AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM x a JOIN x b USING (k) WHERE a.d < b.d GROUP BY 1, 2)
+          SELECT a AS doc_index_a, b AS doc_index_b FROM p WHERE common >= 0.8 * (na + nb - common) - 1e-9""",
+        "chunk_windows": f"WITH {chunks} SELECT chunk_words, doc_index, chunk_index::INT AS chunk_index, text FROM ch",
+        "bm25_index": f"WITH {bm} SELECT term, df, n, round(avg_len, 6) AS avg_len FROM df CROSS JOIN st",
+        "bm25_search": f"WITH {hits} SELECT qid, doc_index, chunk_index::INT AS chunk_index, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 3",
+        "bm25_unanswerable": f"""WITH {hits}, f AS (SELECT qid, {toks('q.text')} AS qt, {toks('ch.text')} AS ct FROM r JOIN ch ON ch.chunk_words = 90 AND ch.doc_index = r.doc_index AND ch.chunk_index = r.chunk_index JOIN q ON q.id = qid WHERE rank <= 5),
+          b AS (SELECT qid, max(len(list_intersect(qt, ct)) / len(qt)) AS best FROM f GROUP BY 1)
+          SELECT id AS qid, round(coalesce(best, 0), 6)::DOUBLE AS best FROM q LEFT JOIN b ON b.qid = q.id WHERE ord % 20 = 0 AND coalesce(best, 0) < 0.25""",
+        "claims_decomposed": f"""
+          WITH a AS (SELECT ord, engine, question_id, coalesce(answer_text, '') AS t, list_transform(coalesce(citations, []), lambda c: 'c_' || left(sha1(coalesce(c.url, '') || '|' || {_sql_strip('coalesce(c.snippet, ' + chr(39) * 2 + ')')}), 12)) AS ids FROM answers),
+          s AS (SELECT ord, engine, question_id, ids, unnest(list_filter(list_transform({_sql_sentences('t')}, lambda s: struct_pack(s := s, b := {_sql_bare('s')})), lambda x: x.b <> '')) AS x, generate_subscripts(list_filter({_sql_sentences('t')}, lambda s: {_sql_bare('s')} <> ''), 1) - 1 AS i FROM a),
+          k AS (SELECT ord, engine, question_id, x.b AS text, i, list_transform(list_filter({_sql_markers('x.s')}, lambda n: n BETWEEN 1 AND len(ids)), lambda n: ids[n]) AS c FROM s)
+          SELECT ord, i::INT AS claim_index, 'cl_' || left(sha1(coalesce(engine, '') || '|' || coalesce(question_id, '') || '|' || i || '|' || text), 12) AS claim_id, text, array_to_string(list_filter(c, lambda v, n: list_position(c, v) = n), ',') AS citation_ids FROM k""",
+        "claims_with_snippets": f"WITH {cl} SELECT ord, claim_index::INT AS claim_index, claim_id, len(ids)::INT AS n_ids, array_to_string({snippets}, '|') AS snippets FROM cl",
+        "judge_lexical": f"""
+          WITH {cl}, f AS (SELECT ord, claim_index, claim_id, text, ids, {snippets} AS sn, {toks('text')} AS tk FROM cl),
+          o AS (SELECT *, list_transform(sn, lambda s: coalesce(len(list_intersect(tk, {toks('s')})) / nullif(len(tk), 0), 0)) AS ov FROM f),
+          b AS (SELECT *, coalesce(list_max(ov), 0) AS best, CASE WHEN coalesce(list_max(ov), 0) > 0 THEN sn[list_position(ov, list_max(ov))] ELSE '' END AS bs, {_sql_numbers('text')} AS cn, {_sql_numbers("array_to_string(sn, ' ')")} AS nn FROM o),
+          g AS (SELECT *, len(list_filter(cn, lambda n: NOT list_contains(nn, n))) > 0 AS lost, (len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ({_NEG}))) > 0) <> (len(list_filter(regexp_extract_all(lower(bs), '[a-z0-9]+'), lambda t: t IN ({_NEG}))) > 0) AS flip FROM b)
+          SELECT DISTINCT ord, claim_index::INT AS claim_index, claim_id, CASE WHEN len(ids) = 0 OR len(sn) = 0 THEN 'uncited' WHEN len(tk) = 0 THEN 'partial'
+            WHEN lost THEN CASE WHEN best >= 0.4 AND len(nn) > 0 THEN 'contradicted' ELSE 'unsupported' END WHEN flip THEN 'partial' WHEN best >= 0.75 THEN 'supported' WHEN best >= 0.4 THEN 'partial' ELSE 'unsupported' END AS verdict,
+            CASE WHEN len(ids) > 0 AND len(sn) > 0 AND len(tk) > 0 THEN round(best, 6) END AS overlap FROM g""",
+        "judge_pending": f"WITH {cl}, {labels} SELECT DISTINCT claim_id FROM cl WHERE claim_id NOT IN (SELECT claim_id FROM l WHERE labeler = 'judge:lexical')",
+        "score_faithfulness": f"WITH {labels} SELECT labeler, {scores} FROM l GROUP BY 1",
+        "score_leaderboard": f"WITH {cl}, {labels}, s AS (SELECT labeler, engine, {scores} FROM l JOIN e USING (claim_id) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY labeler ORDER BY strict DESC, engine)::INT AS place FROM s",
+        "score_failure_modes": f"WITH {cl}, {labels}, {qs}, f AS (SELECT engine, verdict, unnest(failure_modes) AS mode FROM l JOIN e USING (claim_id) JOIN q ON q.id = question_id) SELECT engine, mode, {scores} FROM f GROUP BY 1, 2",
+        "score_verdict_mix": f"WITH {cl}, {labels} SELECT engine, {mix} FROM l JOIN e USING (claim_id) GROUP BY 1",
+        "score_confusion": f"WITH {labels}, {kinds} SELECT * FROM c",
+        "score_kappa": f"""WITH {labels}, {kinds}, t AS (SELECT sum(n) AS n, sum(n) FILTER (human = judge) AS same FROM c),
+          x AS (SELECT sum(h * j) AS hj FROM (SELECT human AS v, sum(n) AS h FROM c GROUP BY 1) JOIN (SELECT judge AS v, sum(n) AS j FROM c GROUP BY 1) USING (v))
+          SELECT n::BIGINT AS n, round(same / n, 6)::DOUBLE AS accuracy, round((same / n - hj / (n * n)) / (1 - hj / (n * n)), 6)::DOUBLE AS kappa FROM t, x""",
+        "score_precision_recall": f"""WITH {labels}, {kinds}, v AS (SELECT unnest([{_VALID}]) AS verdict)
+          SELECT verdict, round(coalesce(sum(n) FILTER (human = verdict AND judge = verdict) / nullif(sum(n) FILTER (judge = verdict), 0), 0), 6)::DOUBLE AS precision,
+            round(coalesce(sum(n) FILTER (human = verdict AND judge = verdict) / nullif(sum(n) FILTER (human = verdict), 0), 0), 6)::DOUBLE AS recall,
+            coalesce(sum(n) FILTER (human = verdict), 0)::BIGINT AS n_human, coalesce(sum(n) FILTER (judge = verdict), 0)::BIGINT AS n_judge FROM v, c GROUP BY 1""",
+        "score_detection": f"""WITH {labels}, o AS (SELECT claim_id, split_part(labeler, ':', 2) AS fault, verdict AS truth FROM l WHERE labeler LIKE 'oracle:%'),
+          j AS (SELECT claim_id, labeler, arg_max(verdict, ord) AS verdict FROM l WHERE labeler NOT LIKE 'human%' AND labeler NOT LIKE 'oracle:%' GROUP BY 1, 2)
+          SELECT labeler, fault, count(*) AS n, count(*) FILTER (truth = verdict) AS n_detected, round(count(*) FILTER (truth = verdict) / count(*), 6) AS rate, {said} FROM o JOIN j USING (claim_id) GROUP BY 1, 2""",
+        "score_disagreements": f"WITH {cl}, {labels}, {kinds}, tx AS (SELECT claim_id, arg_max(text, struct_pack(ord := ord, i := claim_index)) AS text FROM cl GROUP BY 1) SELECT claim_id, human, judge, coalesce(text, '') AS text FROM h JOIN j USING (claim_id) LEFT JOIN tx USING (claim_id) WHERE human <> judge ORDER BY claim_id LIMIT 20",
+        "score_totals": f"""WITH {cl}, {labels}, {qs} SELECT (SELECT count(*) FROM q) AS questions, (SELECT count(DISTINCT engine) FROM answers) AS runs, (SELECT count(DISTINCT claim_id) FROM cl) AS claims,
+          count(*) AS labels, count(*) FILTER (labeler LIKE 'human%') AS human_labels, count(DISTINCT labeler) FILTER (labeler NOT LIKE 'human%' AND labeler NOT LIKE 'oracle:%') AS judges FROM l""",
+        "score_labels_needed": "SELECT h::DOUBLE AS half_width, (floor(1.96::DOUBLE * 1.96::DOUBLE * 0.5::DOUBLE * 0.5::DOUBLE / (h::DOUBLE * h::DOUBLE)) + 1)::INT AS needed FROM (SELECT unnest([0.1, 0.07, 0.05]) AS h)",
+        "completeness_scores": f"WITH {comp} SELECT ord, n_aspects::INT AS n_aspects, (n_aspects - len(missed_list))::INT AS n_covered, array_to_string(missed_list, '|') AS missed, round((n_aspects - len(missed_list)) / n_aspects, 6) AS fraction FROM s",
+        "completeness_by_engine": f"WITH {comp} SELECT engine, count(*) AS n, round(avg((n_aspects - len(missed_list)) / n_aspects), 6) AS macro, round(sum(n_aspects - len(missed_list)) / sum(n_aspects), 6)::DOUBLE AS micro FROM s GROUP BY 1",
+        "completeness_most_missed": f"WITH {comp}, x AS (SELECT unnest(missed_list) AS aspect FROM s) SELECT aspect, count(*) AS n FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+        "validate_duplicates": "SELECT url, count(*) AS n FROM corpus GROUP BY 1 HAVING count(*) > 1 AND url IS NOT NULL",
+        "validate_modes": f"WITH {qs} SELECT mode, count(*) AS n, count(*) < 3 AS thin FROM (SELECT unnest(failure_modes) AS mode FROM q) GROUP BY 1",
+        "labels_replaced": f"""WITH {labels} SELECT labeler, count(*) AS n FROM l WHERE labeler <> 'judge:imported' GROUP BY 1 UNION ALL SELECT 'judge:imported', count(*) FROM (SELECT DISTINCT claim_id, claim FROM sample_batch1)""",
+    }
