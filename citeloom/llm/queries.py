@@ -126,6 +126,12 @@ def oracle_sql() -> dict[str, str]:
         SELECT DISTINCT engine, failure_mode FROM sample_targets t CROSS JOIN s
         LEFT JOIN n ON n.m = t.failure_mode AND n.e = replace(lower(trim(t.engine)), '_', '-')
         WHERE coalesce(available, 0) < min_rows OR 1000 * coalesce(available, 0) < target_permille * s.s""",
+        "p5_found": r"""
+        WITH t AS (SELECT doc_index, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS b FROM corpus WHERE text IS NOT NULL),
+        g AS (SELECT DISTINCT doc_index, substr(b, i, 5) AS s FROM (SELECT doc_index, b, unnest(range(1, length(b) - 3)) AS i FROM t)),
+        n AS (SELECT doc_index, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT x.doc_index AS a, y.doc_index AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.doc_index < y.doc_index GROUP BY 1, 2)
+        SELECT a AS doc_index_a, b AS doc_index_b FROM p JOIN n x ON x.doc_index = a JOIN n y ON y.doc_index = b WHERE 10 * common >= 7 * (x.n + y.n - common)""",
         "p4_alpha": votes + """,
         k AS (SELECT claim_id, verdict, count(*) AS c FROM w GROUP BY 1, 2),
         u AS (SELECT claim_id, sum(c) AS m, sum(c * (c - 1)) AS same FROM k GROUP BY 1 HAVING sum(c) > 1),
