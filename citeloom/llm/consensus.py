@@ -1,8 +1,10 @@
 """Consensus from several annotators' labels: confidence-aware truth discovery.
 
-An annotator's weight is the upper bound, by the chi-squared distribution, that his or her error variance has:
-``w = chi2(alpha / 2, n) / errors`` over the ``n`` items judged. Truths minimise the weighted distance to the labels,
-weights follow from the truths, in turn. Long-tail annotators, with few labels, get cautious weights.
+An annotator's error has the upper bound ``u = errors / chi2(alpha / 2, n)`` over the ``n`` items judged, by the
+chi-squared distribution of an error variance. Truths minimise the weighted distance to the labels, weights follow from
+the truths, in turn. Long-tail annotators, with few labels, get large bounds, hence cautious weights. The weight is the
+log-odds of the bound, not its inverse: labels are categories, and an inverse lets one annotator with no error found
+outvote any number of good ones, so that every truth becomes that annotator's.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ def chi_squared_quantile(n: Column, p: float) -> Column:
     return n * F.pow(F.greatest(1 - a + z * F.sqrt(a), F.lit(1e-3)), 3)
 
 
+def weight_of(n: Column, errors: Column, alpha: float, kinds: int) -> Column:
+    """Log-odds of the upper bound of an annotator's error against a guess among ``kinds``; never below a thousandth."""
+    bound = F.least(F.greatest(errors, F.lit(0.5)) / chi_squared_quantile(n, alpha / 2), F.lit(0.999))
+    return F.greatest(F.log((1 - bound) * (kinds - 1) / bound), F.lit(1e-3))
+
+
 def latest_votes(labels: DataFrame, valid: list[str] = VERDICTS) -> DataFrame:
     """``(claim_id, labeler, verdict)``: of a labeler's valid labels on a claim the one with the highest ``ord``.
 
@@ -75,15 +83,14 @@ def truth_discovery(labels: DataFrame, min_labelers: int = 3, alpha: float = 0.0
         weighted = judged.withColumn("w", F.lit(1.0)) if weights is None else judged.join(broadcast_if_small(weights, 64), "labeler")
         found = truths(weighted)
         counted = judged.join(found, "claim_id").groupBy("labeler").agg(F.count("*").alias("n"), F.sum((F.col("rank") != F.col("truth")).cast("long")).alias("errors"))
-        weight = chi_squared_quantile(F.col("n").cast("double"), alpha / 2) / F.greatest(F.col("errors").cast("double"), F.lit(0.5))
-        weights = stage(counted.withColumn("w", weight), "weights")
+        weights = stage(counted.withColumn("w", weight_of(F.col("n").cast("double"), F.col("errors").cast("double"), alpha, len(valid))), "weights")
         now = weights.agg(F.coalesce(F.sum("errors"), F.lit(0)), F.coalesce(F.sum(F.xxhash64("labeler", "errors").cast("decimal(30,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
     # labelers seen only on claims with few votes get the weight of a newcomer: one label, half an error
     everyone = votes.select("labeler").distinct().join(weights, "labeler", "left")
-    newcomer = chi_squared_quantile(F.lit(1.0), alpha / 2) / 0.5
+    newcomer = weight_of(F.lit(1.0), F.lit(0.0), alpha, len(valid))
     everyone = stage(everyone.select("labeler", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("w", newcomer).alias("w")), "weights")
     final = truths(votes.join(broadcast_if_small(everyone.select("labeler", "w"), 64), "labeler"))
     pairs = votes.groupBy("claim_id", "rank").count().groupBy("claim_id").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1)).alias("same"))
