@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.sentences import INVISIBLE, MARKER, NEVER_FINAL, segment
+from citeloom.llm.sentences import INVISIBLE, MARKER, NEVER_FINAL, segment, units
 
 DEFECTS = ["empty", "refusal", "copied_question", "truncated", "wrong_language"]
 
 _MARK = re.compile(rf"\s*{MARKER}")
-_WORD = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile(r"[\W_]+")
 _QUOTED = re.compile(r"\(?[“„«「『\"][^“”„«»「」『』\"]{12,}[”“»」』\"]\)?|[(（][^()（）]{12,}[)）]")
 
 # Texts that stand for no answer.
@@ -64,7 +64,7 @@ def _low(text: str) -> str:
 
 def _bare(text: str) -> str:
     """Letters and digits only."""
-    return "".join(c for c in _low(text) if c.isalnum())
+    return _OTHER.sub("", _low(text))
 
 
 def scripts(text: str) -> dict[str, int]:
@@ -103,9 +103,14 @@ def language(text: str) -> tuple[str, dict[str, float]]:
     return (best if score[best] >= 1 and score[best] > max(v for k, v in score.items() if k != best) else ""), score
 
 
+#: A question is asked of many engines: what is known of it is kept for a while.
+_asked_in = lru_cache(maxsize=4096)(language)
+_bare_question = lru_cache(maxsize=4096)(_bare)
+
+
 def _other_language(question: str, answer: str) -> bool:
     """Is the answer clearly in another language? In one script by function words, else by the script."""
-    asked, wanted = language(question)
+    asked, wanted = _asked_in(question)
     told, said = language(answer)
     if not asked or not told or asked == told:
         return False
@@ -115,19 +120,21 @@ def _other_language(question: str, answer: str) -> bool:
 
 
 def _refuses(text: str) -> bool:
-    """Every sentence declines, but for an aside."""
-    units = [_low(_MARK.sub("", text[a:b])).strip() for a, b in segment(text)]
-    units = [u for u in units if any(c.isalnum() for c in u)]
-    hits = [bool(_refusing().search(u)) for u in units]
-    return any(hits) and all(h or _ASIDE.match(u) for h, u in zip(hits, units, strict=True))
-
-
-_PREFIX = re.compile(r"^(?:question|frage|pregunta|q|query|prompt|質問|问题|問題|问|問)$")
+    """Every sentence declines, but for an aside. The first that does neither decides."""
+    declines = False
+    for a, b in units(text):
+        unit = _low(_MARK.sub("", text[a:b])).strip()
+        if any(c.isalnum() for c in unit):
+            if _refusing().search(unit):
+                declines = True
+            elif not _ASIDE.match(unit):
+                return False
+    return declines
 
 
 def _copies(answer: str, question: str) -> bool:
     """Nothing but the question again, once or more, whatever its case, quotes and end marks."""
-    a, q = _bare(_MARK.sub("", answer)), _bare(question)
+    a, q = _bare(_MARK.sub("", answer)), _bare_question(question)
     if not q or not a:
         return False
     left = a

@@ -38,6 +38,7 @@ _CANDIDATE = re.compile(
 #: Blank and invisible characters that a unit neither starts nor ends with.
 _EDGE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + INVISIBLE
 _THAI_GAP = re.compile(f"(?<=[\u0e01-\u0e4e\u0e81-\u0ece])(?:{BLANK})+(?=[\u0e01-\u0e4e\u0e81-\u0ece])")
+_THAI_LIKE = re.compile("[\u0e01-\u0e4e\u0e81-\u0ece]")
 _SPACE = re.compile(rf"(?:{BLANK})+")
 _WORD = re.compile(r"[^\W_]+(?:[.'’\-][^\W_]+)*", re.UNICODE)
 
@@ -91,10 +92,6 @@ def lattice(text: str, lexicon: tuple[frozenset, int]) -> list[str]:
     return path[::-1]
 
 
-def _thai_like(ch: str) -> bool:
-    return "\u0e01" <= ch <= "\u0e4e" or "\u0e81" <= ch <= "\u0ece"
-
-
 def _ideographic(ch: str) -> bool:
     return "々" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "豈" <= ch <= "﫿" or "ｦ" <= ch <= "ﾟ" or ch >= "\U00020000"
 
@@ -208,42 +205,53 @@ def _closers(line: str, m: re.Match) -> tuple[str, int]:
     return closed, end
 
 
-def segment(text: str) -> list[tuple[int, int]]:
-    """Sentence units of ``text`` as (start, end) code-point offsets, from first to last visible character."""
-    units: list[tuple[int, int]] = []
+def _cuts(line: str) -> Iterator[tuple[int, int]]:
+    """Places in a line where a unit ends and the next may begin."""
+    start = pos = 0
+    marks: Iterator[re.Match] = _CANDIDATE.finditer(line)
+    if _THAI_LIKE.search(line):
+        marks = iter(sorted([*marks, *_THAI_GAP.finditer(line)], key=lambda x: x.start()))
+    for m in marks:
+        if m.start() < pos:
+            continue
+        if m.re is _THAI_GAP:
+            if _thai_gap(line, m.start(), m.end()):
+                start = pos = m.end()
+                yield m.start(), start
+            continue
+        closed, end = _closers(line, m)
+        if _ends(line, start, m, closed, end):
+            gap = _SPACE.match(line, end)
+            start = pos = gap.end() if gap else end
+            yield end, start
+
+
+def units(text: str) -> Iterator[tuple[int, int]]:
+    """Sentence units of ``text`` as (start, end) code-point offsets, from first to last visible character, one by one."""
     at = 0
-    visible = lambda s: s.strip().strip(INVISIBLE + "  ")
     for br in [*LINE_BREAK.finditer(text), None]:
         stop = br.start() if br else len(text)
         line, base = text[at:stop], at
         at = br.end() if br else stop
-        if not visible(line):
+        if not line.strip(_EDGE):
             continue
-        cuts: list[int] = []
-        start, pos, marks = 0, 0, _CANDIDATE.finditer(line)
-        gaps = _THAI_GAP.finditer(line) if any(map(_thai_like, line)) else ()
-        for m in sorted([*marks, *gaps], key=lambda x: x.start()):
-            if m.start() < pos:
-                continue
-            if "mark" not in m.re.groupindex:
-                if _thai_gap(line, m.start(), m.end()):
-                    cuts.append(m.start())
-                    start = pos = m.end()
-                continue
-            closed, end = _closers(line, m)
-            if _ends(line, start, m, closed, end):
-                cuts.append(end)
-                gap = _SPACE.match(line, end)
-                start = pos = gap.end() if gap else end
         start = 0
-        for cut in [*cuts, len(line)]:
-            piece = line[start:cut]
-            core = visible(piece)
+        for end, following in _with_end(line):
+            core = line[start:end].strip(_EDGE)
             if core:
-                first = start + piece.index(core)
-                units.append((base + first, base + first + len(core)))
-            start = cut
-    return units
+                first = line.index(core, start)
+                yield base + first, base + first + len(core)
+            start = following
+
+
+def _with_end(line: str) -> Iterator[tuple[int, int]]:
+    yield from _cuts(line)
+    yield len(line), len(line)
+
+
+def segment(text: str) -> list[tuple[int, int]]:
+    """All units of :func:`units`."""
+    return list(units(text))
 
 
 UNITS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
