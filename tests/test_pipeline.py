@@ -295,3 +295,20 @@ def test_registered_sql(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["qid", "doc_index", "chunk_index", "score", "rank"]
     assert all(a < b for a, b in itertools.pairwise(sorted(queries.queries())))
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from citeloom import cli
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "corpus.jsonl").write_text("".join(json.dumps({"url": u, "title": t, "text": x * 2}) + "\n" for _, u, t, x in CORPUS))
+    (tmp_path / "questions.jsonl").write_text("".join(json.dumps({"id": f"q{i}", "text": t, "failure_modes": ["numeric"], "aspects": ["412"]}) + "\n" for i, t in enumerate(["What revenue did Northwind report in fiscal 2024?", "How much storage does Helion Grid operate?"])))
+    monkeypatch.setattr(cli, "SparkSession", type("S", (), {"builder": type("B", (), {"appName": staticmethod(lambda n: type("G", (), {"getOrCreate": staticmethod(lambda: spark)}))})}))
+    assert cli.main(["run", "--faults", "dropped-citation"]) == 0
+    assert cli.main(["judge"]) == 0 and cli.main(["judge"]) == 0
+    labels = jsonl.labels(spark, str(tmp_path / "labels.jsonl")).collect()
+    assert {r.labeler for r in labels} == {"judge:lexical", "oracle:dropped-citation"}
+    assert len({(r.claim_id, r.labeler) for r in labels}) == len(labels)
+    assert cli.main(["report"]) == 0 and "## Leaderboard" in (tmp_path / "report.md").read_text()
+    assert cli.main(["score-completeness"]) == 0 and cli.main(["disagree"]) == 0
+    assert cli.main(["validate"]) == 1
