@@ -59,6 +59,23 @@ def near_token_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return sets.where(both >= threshold * (F.size("ta") + F.size("tb") - both) - 1e-9).select("a", "b")
 
 
+def near_members(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(ord, cls, n_links)``: every row of ``docs`` (``ord``, ``text``) with its class and the other rows it is near to.
+
+    Rows of equal token sets, which need not be equal texts, are one class named by its least ``ord``; they are near each
+    other and to all rows of the near classes, so classes and pairs of classes hold every link between rows. Rows without
+    content tokens are classes of their own without links. Links are summed over classes; pairs of rows are never listed.
+    """
+    sets = docs.select("ord", F.array_sort(tx.token_set(F.coalesce("text", F.lit("")))).alias("tokens"))
+    keyed = stage(sets.select("ord", "tokens", F.when(F.size("tokens") > 0, F.sha2(F.array_join("tokens", " "), 256)).alias("h")), "keyed")
+    classes = stage(keyed.where("h is not null").groupBy("h").agg(F.min("ord").alias("cls"), F.first("tokens").alias("tokens"), F.count("*").alias("n_rows")), "classes")
+    pairs = stage(near_token_pairs(classes.select("cls", "tokens"), threshold), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(classes.select(F.col("cls").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n_rows").alias("near"))
+    linked = classes.join(near, "cls", "left").select("h", "cls", (F.col("n_rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return keyed.join(linked, "h", "left").select("ord", F.coalesce("cls", "ord").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def first_kept(order: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy choice in order of ``cls``: a class is dropped if an earlier *kept* one is near. ``(cls, kept)``.
 

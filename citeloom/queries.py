@@ -85,6 +85,12 @@ def ingest_near_pairs(s, d):
     return ingest.near_token_pairs(classes.select("cls", "tokens")).select(F.col("a").alias("doc_index_a"), F.col("b").alias("doc_index_b"))
 
 
+def ingest_near_members(s, d):
+    """The membership that ``ingest_near_pairs`` leaves out: every corpus row with its class and its number of links."""
+    rows = ingest.near_members(table(s, d, "corpus").select(F.col("doc_index").alias("ord"), "text"))
+    return rows.select(F.col("ord").alias("doc_index"), F.col("cls").alias("class_index"), "n_links")
+
+
 def ingest_deduplicated(s, d):
     return ingest.deduplicate(table(s, d, "corpus").select(F.col("doc_index").alias("ord"), "text")).select(F.col("ord").alias("doc_index"), "kept")
 
@@ -403,6 +409,11 @@ def oracle_sql() -> dict[str, str]:
           x AS (SELECT d, len(t) AS n, unnest(t) AS k FROM s),
           p AS (SELECT a.d AS a, b.d AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM x a JOIN x b USING (k) WHERE a.d < b.d GROUP BY 1, 2)
           SELECT a AS doc_index_a, b AS doc_index_b FROM p WHERE common >= 0.8 * (na + nb - common) - 1e-9""",
+        "ingest_near_members": f"""
+          WITH s AS (SELECT doc_index, list_distinct({_sql_tokens('text')}) AS t FROM corpus), x AS (SELECT doc_index AS d, len(t) AS n, unnest(t) AS k FROM s),
+          p AS (SELECT a.d AS a, b.d AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM x a JOIN x b USING (k) WHERE a.d <> b.d GROUP BY 1, 2),
+          l AS (SELECT a, count(*) AS n_links, min(b) FILTER (common = na AND common = nb) AS same FROM p WHERE common >= 0.8 * (na + nb - common) - 1e-9 GROUP BY 1)
+          SELECT doc_index, least(doc_index, coalesce(same, doc_index)) AS class_index, coalesce(n_links, 0) AS n_links FROM s LEFT JOIN l ON a = doc_index""",
         "chunk_windows": f"WITH {chunks} SELECT chunk_words, doc_index, chunk_index::INT AS chunk_index, text FROM ch",
         "bm25_index": f"WITH {bm} SELECT term, df, n, round(avg_len, 6) AS avg_len FROM df CROSS JOIN st",
         "bm25_search": f"WITH {hits} SELECT qid, doc_index, chunk_index::INT AS chunk_index, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 3",

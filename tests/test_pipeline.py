@@ -72,6 +72,24 @@ def test_deduplicate_like_brute_force(spark):
     assert ingest.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_near_members_hold_every_link(spark):
+    """Every row comes out with its class; classes and pairs of classes give back each link between rows."""
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [base, "The kappa, iota theta: eta zeta epsilon delta gamma beta alpha!", base + " lambda", "other words entirely", "", None, base.replace("kappa", "kappa \u5149"), "the of", "other words; entirely"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    got = {r.ord: (r.cls, r.n_links) for r in ingest.near_members(docs).collect()}
+    assert got == {0: (0, 3), 1: (0, 3), 2: (2, 3), 3: (3, 1), 4: (4, 0), 5: (5, 0), 6: (0, 3), 7: (7, 0), 8: (3, 1)}
+    assert ingest.near_members(docs.limit(0)).count() == 0
+
+
+def test_near_members_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW corpus AS SELECT * FROM '{SF}/corpus.parquet'")
+    df = queries.queries()["ingest_near_members"](spark, SF)
+    want = db.execute(f"SELECT doc_index, class_index, n_links FROM ({queries.oracle_sql()['ingest_near_members']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) == spark.read.parquet(f"{SF}/corpus.parquet").count()
+
+
 def pack(sents, width, overlap):
     """Greedy packing, spelt out."""
     out, cur = [], []
