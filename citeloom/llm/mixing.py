@@ -1,8 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
-Sizes are tokens of a public tokenizer. Document rates are exponentially tilted, ``rate = min(cap, exp(a + b * size))``
-per source; Newton steps on the convex dual solve the token constraints over all documents, aggregated in the cluster
-(a step sees one row per source). Rates are rounded to copies by a hash of the document.
+Sizes are tokens of a public tokenizer. From a base rate of one copy each, document rates are exponentially tilted by
+size, ``rate = min(cap, exp(lambda * size))`` with one multiplier per source: of all rates under the cap that reach the
+source's tokens, those of the least relative entropy to the base. Newton steps on the convex dual solve the token
+constraints over all documents, aggregated in the cluster (a step sees one row per source). Rates are rounded to copies by
+a hash of the document.
 """
 
 from __future__ import annotations
@@ -67,13 +69,51 @@ def feasibility(sized: DataFrame, targets: DataFrame) -> DataFrame:
         (1000 * F.col("max_repeats") * have < F.col("target_permille") * F.col("total")).alias("short"))
 
 
+def _rate(multiplier: str = "multiplier") -> Column:
+    """Tilted rate of a size under its cap; ``multiplier`` is per mean size, null (a goal of no tokens) is never drawn."""
+    z = F.col(multiplier) * F.col("tokens") / F.col("mean")
+    return F.coalesce(F.least(F.col("max_repeats").cast("double"), F.exp(F.least(z, F.lit(50.0)))), F.lit(0.0))
+
+
+def multipliers(hist: DataFrame, steps: int = 40) -> dict[str, tuple[float | None, float]]:
+    """``{src: (multiplier, mean size)}`` whose rates reach the goals: Newton steps on the dual, kept between known bounds.
+
+    ``hist``: ``(src, max_repeats, goal, tokens, count)`` of the sources in reach. The tokens drawn grow with the
+    multiplier, so every step bounds it from one side; a step that would leave the bounds halves them instead, as one does
+    where every rate stands at its cap and the slope is zero.
+    """
+    sources = hist.groupBy("src", "goal").agg((F.sum(F.col("count") * F.col("tokens")) / F.sum("count")).alias("mean"), F.sum(F.col("count") * F.col("tokens")).alias("have")).collect()  # one row per target
+    found = {r.src: (math.log(r.goal / r.have) if r.goal > 0 else None, r.mean) for r in sources}
+    goals, bounds = {r.src: r.goal for r in sources if r.goal > 0}, {r.src: (-math.inf, math.inf) for r in sources}
+    for _ in range(steps if goals else 0):
+        params = hist.sparkSession.createDataFrame([(s, *found[s]) for s in goals], "src string, multiplier double, mean double")
+        tilted = hist.join(F.broadcast(params), "src").withColumn("r", _rate()).withColumn("free", (F.exp(F.col("multiplier") * F.col("tokens") / F.col("mean")) <= F.col("max_repeats")).cast("double"))
+        drawn = F.col("count") * F.col("r") * F.col("tokens")
+        moments = tilted.groupBy("src").agg(F.sum(drawn).alias("drawn"), F.sum(drawn * F.col("free") * F.col("tokens") / F.col("mean")).alias("slope")).collect()  # one row per target
+        for r in moments:
+            at, mean = found[r.src]
+            gap = goals[r.src] - r.drawn
+            if abs(gap) <= 1e-9 * goals[r.src]:
+                del goals[r.src]
+                continue
+            lo, hi = bounds[r.src] = (at, bounds[r.src][1]) if gap > 0 else (bounds[r.src][0], at)
+            furthest = max(2.0, abs(at))
+            to = at + max(-furthest, min(furthest, gap / r.slope if r.slope > 0 else math.copysign(furthest, gap)))
+            if not lo < to < hi:
+                to = (lo + hi) / 2
+            found[r.src] = (to, mean)
+        if not goals:
+            break
+    return found
+
+
 def entropy_balanced(documents: DataFrame, targets: DataFrame, steps: int = 40, vocabulary: str = VOCABULARY, seed: int = 0, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, report). ``copies``: ``(doc, src, tokens, copies)``, one row per document chosen at least once.
 
     ``report``: one row per target with the share asked, the share reached and whether the target was out of reach. The
-    size of the mixture is the size of all documents. Two constraints per source fix its two multipliers: its tokens, and
-    a mean size of drawn documents equal to that of its rows as far as the cap allows (``b`` is the tilt by size; it is
-    zero until the cap binds). Sources out of reach give every row ``max_repeats`` times. Documents of null or unlisted
+    size of the mixture is the size of all documents. One constraint per source, its tokens, fixes its multiplier: longer
+    documents are drawn more often where a source must grow and less often where it must shrink. Sources out of reach give
+    every row ``max_repeats`` times. Documents of null or unlisted
     sources count in the total and are never drawn. Empty tables give empty results.
     """
     sized = sized if sized is not None else sized_documents(documents, vocabulary=vocabulary)
@@ -82,30 +122,9 @@ def entropy_balanced(documents: DataFrame, targets: DataFrame, steps: int = 40,
     known = sized.join(F.broadcast(facts.select("src", "max_repeats", "short", "target_permille", "total", F.col("tokens").alias("have"))), "src").where("tokens > 0")
     hist = stage(known.groupBy("src", "max_repeats", "short", "target_permille", "total", "have", "tokens").count(), "sizes")
     goal = (F.col("target_permille") / 1000 * F.col("total")).alias("goal")
-    state = {r.src: [math.log(max(r.goal / r.have, 1e-12)), 0.0, r.goal, r.mean, r.max_repeats] for r in hist.where("not short").groupBy("src", "max_repeats", "have", goal).agg((F.sum(F.col("count") * F.col("tokens")) / F.sum("count")).alias("mean")).collect()}  # one row per target
-    spark = hist.sparkSession
-    schema = "src string, a double, b double, mean double"
-
-    def rate(a: str = "a", b: str = "b") -> Column:
-        z = F.col(a) + F.col(b) * (F.col("tokens") / F.col("mean") - 1)
-        return F.least(F.col("max_repeats").cast("double"), F.exp(F.least(z, F.lit(50.0))))
-
-    for _ in range(steps if state else 0):
-        params = spark.createDataFrame([(s, v[0], v[1], v[3]) for s, v in state.items()], schema)
-        tilted = hist.where("not short").join(F.broadcast(params), "src").withColumn("r", rate()).withColumn("free", (F.col("r") < F.col("max_repeats")).cast("double"))
-        w, x = F.col("count") * F.col("r"), F.col("tokens")
-        moments = tilted.groupBy("src").agg(F.sum(w * x).alias("m1"), F.sum(w * x * F.col("free")).alias("d1")).collect()  # one row per target
-        worst = 0.0
-        for r in moments:
-            v = state[r.src]
-            gap = v[2] - r.m1
-            worst = max(worst, abs(gap) / max(v[2], 1.0))
-            if r.d1 > 0:
-                v[0] += max(-2.0, min(2.0, gap / r.d1))
-        if worst < 1e-9:
-            break
-    params = spark.createDataFrame([(s, v[0], v[1], v[3]) for s, v in state.items()], schema)
-    rated = known.join(F.broadcast(params), "src", "left").withColumn("r", F.when(F.col("short"), F.col("max_repeats").cast("double")).otherwise(rate()))
+    found = multipliers(hist.where("not short").select("src", "max_repeats", goal, "tokens", "count"), steps)
+    params = hist.sparkSession.createDataFrame([(s, *v) for s, v in found.items()], "src string, multiplier double, mean double")
+    rated = known.join(F.broadcast(params), "src", "left").withColumn("r", F.when(F.col("short"), F.col("max_repeats").cast("double")).otherwise(_rate()))
     draw = (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     copies = rated.select("doc", "src", "tokens", (F.floor("r") + (draw < F.col("r") - F.floor("r")).cast("long")).alias("copies")).where("copies > 0")
     copies = stage(copies, "copies")

@@ -259,6 +259,27 @@ def test_mixture(spark):
     assert mixing.entropy_balanced(docs.limit(0), targets)[0].count() == 0
 
 
+def test_mixture_is_tilted_by_size(spark):
+    """The multipliers are those of the dual, solved here by bisection; where the cap binds the rest makes up for it."""
+    sizes = {"up": [10, 50, 100, 400], "down": [10, 50, 100, 400], "capped": [5, 10, 1000], "same": [3, 9], "full": [7, 70], "none": [8]}
+    cap, share = {"up": 9, "down": 1, "capped": 2, "same": 1, "full": 3, "none": 4}, {"up": 1.7, "down": 0.3, "capped": 1.9985, "same": 1.0, "full": 3.0, "none": 0.0}
+    rows = [(s, cap[s], share[s] * 5 * sum(xs), x, 5) for s, xs in sizes.items() for x in xs]
+    got = mixing.multipliers(spark.createDataFrame(rows, "src string, max_repeats int, goal double, tokens long, count long"))
+    assert got["none"][0] is None and abs(got["same"][0]) < 1e-9
+    for s in ("up", "down", "capped"):
+        drawn = lambda v, s=s: sum(5 * x * min(cap[s], np.exp(min(v * x, 50))) for x in sizes[s])
+        lo, hi = -10.0, 10.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if drawn((lo + hi) / 2) < share[s] * 5 * sum(sizes[s]) else (lo, (lo + hi) / 2)
+        assert abs(got[s][0] / got[s][1] - lo) < 1e-6 * abs(lo), s
+    assert got["up"][0] > 0 > got["down"][0]
+    assert all(min(3, np.exp(got["full"][0] / got["full"][1] * x)) > 3 - 1e-6 for x in sizes["full"])
+    docs = [(i, " word" * (10 if i % 2 else 300), "s") for i in range(2000)] + [(9000 + i, " word" * 310, "rest") for i in range(500)]
+    copies, report = mixing.entropy_balanced(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("s", 400, 2)], "source string, target_permille int, max_repeats int"))
+    drawn = collections.Counter(r.doc % 2 for r in copies.collect())
+    assert drawn[1] > 930 and drawn[0] < 650 and abs(report.first().permille_of_goal - 400) < 25
+
+
 # -- 2 ------------------------------------------------------------------------------------------------------------
 
 
