@@ -206,7 +206,7 @@ def defects(answer: str | None, question: str | None, error: str | None = None)
         found.append("copied_question")
     if _breaks_off(text):
         found.append("truncated")
-    if question and not found and not _UNIT_ONLY.match(_MARK.sub("", text).strip()):
+    if question and not _UNIT_ONLY.match(_MARK.sub("", text).strip()):
         if _other_language(question, _QUOTED.sub(" ", _MARK.sub("", text))):
             found.append("wrong_language")
     return found

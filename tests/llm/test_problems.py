@@ -303,6 +303,19 @@ def test_defects(answer, question, want):
     assert (answers.defects(answer, question) or [None])[0] == want
 
 
+@pytest.mark.parametrize(
+    "answer, question, want",
+    [
+        ("I’m sorry, but I can’t help with that request.", "Wann wurde die Anlage in Betrieb genommen und was kostete sie?", ["refusal", "wrong_language"]),
+        ("I’m sorry, but I can’t help with that request.", "容量是多少？", ["refusal", "wrong_language"]),
+        ("El operador superó los 795 litros por primera vez, frente a los 77 de un año antes, según el", "What capacity does the operator report for its line?", ["truncated", "wrong_language"]),
+        ("Why was it shut in the winter?", "Why was it shut in the winter?", ["copied_question"]), ("No comment.", "Was it shut for the winter?", ["refusal"]),
+    ],
+)
+def test_all_defects(answer, question, want):
+    assert answers.defects(answer, question) == want
+
+
 def test_flagged(spark):
     q = spark.createDataFrame([(1, "q", "Why was it shut?"), (2, "q", "Other"), (3, None, "x")], "ord long, id string, text string")
     a = spark.createDataFrame([(1, "q", None, None), (2, "q", "Why was it shut?", "policy"), (3, "zz", "No comment.", None), (4, "q", "It was shut for the winter.", "policy"), (4, "q", "It was shut for the winter.", "policy")], "ord long, question_id string, answer_text string, error string")
