@@ -272,7 +272,8 @@ def validate_modes(s, d):
 
 
 def validate_problems(s, d):
-    return report.problems(table(s, d, "questions"), table(s, d, "corpus"))
+    corpus = table(s, d, "corpus")
+    return report.problems(table(s, d, "questions"), corpus, report.corpus_index(corpus))
 
 
 def queue_prioritised(s, d):

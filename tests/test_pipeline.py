@@ -152,6 +152,14 @@ def test_search_and_engines(spark, index, asked):
     assert all("ZeroDivisionError" in r.error for r in got)
 
 
+def test_registered_validation_asks_every_question(spark, tmp_path):
+    spark.createDataFrame(CORPUS, "doc_index long, url string, title string, text string").write.parquet(str(tmp_path / "corpus.parquet"))
+    rows = [(3, "q1", "What revenue did Northwind report in fiscal 2024?"), (4, "q3", "the and of"), (7, "q4", "zebra xylophone"), (9, "q4", "zebra xylophone")]
+    spark.createDataFrame([(*r, ["numeric"], None) for r in rows], "ord long, id string, text string, failure_modes array<string>, aspects array<string>").write.parquet(str(tmp_path / "questions.parquet"))
+    found = queries.queries()["validate_problems"](spark, str(tmp_path)).collect()
+    assert sorted((r.key, float(r.detail)) for r in found if r.kind == "unanswerable question") == [("q3", 0.0), ("q4", 0.0)]
+
+
 def test_lossy_steps():
     assert engines.without_qualifier("Revenue was 412 million dollars in fiscal 2024.") == "Revenue was 412 million dollars."
     assert engines.with_rounded("It was 412 million.", random.Random(0)) == "It was roughly 410 million."
