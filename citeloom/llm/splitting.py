@@ -61,6 +61,9 @@ def split_text(text: str, units: list[tuple[int, int]], limit: int = 2000, overl
     pieces, start = [], 0
     while n - start > limit:
         end = strongest(start + limit // 2, start + limit)
+        if s[end] < SENTENCE:  # rather a shorter piece than a cut inside a unit; far enough for the next start to advance
+            early = strongest(min(start + overlap * 3 // 2 + 1, start + limit // 2), start + limit // 2)
+            end = early if s[early] >= SENTENCE else end
         pieces.append((start, end, int(s[end])))
         start = strongest(end - overlap - overlap // 2, end - overlap // 2) if overlap else end
     pieces.append((start, n, PARAGRAPH))

@@ -240,6 +240,16 @@ def test_smallest_keys(spark, n, q, bins):
     assert got == {r.key for r in order.collect()} and len(got) == q
 
 
+def test_split_takes_an_early_sentence_end():
+    """Where the next unit fills the rest of the piece, the cut is at the sentence end before the middle."""
+    text = "A" + "b" * 498 + ". " + "C" + "d " * 800 + "e. " + "F" + "g " * 300 + "h."
+    units = [(0, 500), (501, text.index("e. ") + 2), (text.index("e. ") + 3, len(text))]
+    pieces = splitting.split_text(text, units)
+    assert [b for _, b, _ in pieces[:2]] == [500, units[1][1]] and all(c >= splitting.SENTENCE for _, _, c in pieces)
+    assert all(b - a <= 2000 for a, b, _ in pieces) and all(x[0] < y[0] <= x[1] for x, y in itertools.pairwise(pieces))
+    assert "".join(text[(pieces[i - 1][1] if i else 0) : b] for i, (_, b, _) in enumerate(pieces)) == text
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------
 
 
