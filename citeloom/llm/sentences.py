@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts.
 
-Spaced scripts: a lattice of candidate terminators (mark run, closers, citation markers) is classified by the token
-before the gap and the word after it. Spaceless scripts (Chinese, Japanese, Thai, Lao, Khmer, Burmese): words around
-each gap come from a dictionary word lattice (cheapest path), and the gap is classified through final particles on its
-left and opening words on its right. A line break always ends a unit.
+Spaced scripts: one scan finds candidate terminators (mark run, closers, citation markers), each classified by the token
+before the gap and the word after it. Thai: words around each blank come from a word lattice (cheapest path), and the gap
+is classified through final particles on its left and opening words on its right. Chinese and Japanese are cut at their
+marks; a lattice is used only after a closing quotation mark. Lao, Khmer and Burmese have no words of their own here. A
+line break always ends a unit.
 """
 
 from __future__ import annotations
