@@ -3,35 +3,58 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import os
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import chunks, claims, engines, faults, ingest, judge, metrics, queueing, report
 from citeloom.operators.bm25 import build_index
+from citeloom.plans.staging import release, stage
 from citeloom.sources import jsonl
 
 
 def _claims(s: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return claims.claim_rows(jsonl.answers(s, a.answers))
+    return claims.claim_rows(jsonl.answers(s, a.answers, required=True))
+
+
+def _client(a: argparse.Namespace):
+    """The client factory named by ``--client module:factory``."""
+    if not a.client:
+        raise SystemExit("a model needs a client: --client module:factory")
+    module, _, factory = a.client.partition(":")
+    return getattr(importlib.import_module(module), factory)
 
 
 def run(s: SparkSession, a: argparse.Namespace) -> int:
     """Answers of every engine and width, clean and with faults, and the oracle labels of the faults.
 
-    A run with faults replaces all earlier oracle labels.
+    ``--append`` keeps earlier records. A run with faults replaces all earlier oracle labels, with ``--append`` too. Widths
+    are run together; one narrower than the overlap gets an overlap one word short of it.
     """
     asked = jsonl.questions(s, a.questions, required=True).select(F.col("id").alias("qid"), "text")
-    index = build_index(chunks.chunk_documents(jsonl.corpus(s, a.corpus), a.widths, a.overlap))
-    made = {"extractive": engines.extractive, "lossy": engines.lossy}[a.engine](index, asked, a.top_k)
-    out, oracle = made, None
+    docs = jsonl.corpus(s, a.corpus)
+    if docs.isEmpty():
+        raise ValueError(f"no corpus documents at {a.corpus}")
+    cut = [chunks.chunk_documents(docs, [w], min(a.overlap, w - 1)) for w in a.widths]
+    index = build_index(reduce(DataFrame.unionByName, cut))
+    if a.engine == "rag":
+        made = engines.model_rag(index, asked, _client(a), a.top_k)
+    else:
+        made = {"extractive": engines.extractive, "lossy": engines.lossy}[a.engine](index, asked, a.top_k)
+    made = stage(made, "made")  # a model is asked once, however many faults follow
+    out, oracle = made.drop("ord"), None
     for fault in a.faults:
         injected = faults.inject(made, fault, a.rate, a.seed)
         labels = faults.oracle_labels(injected)
-        out, oracle = out.unionByName(injected.drop("oracle")), labels if oracle is None else oracle.unionByName(labels)
-    print(jsonl.write_jsonl(out.drop("ord"), a.answers), "records")
+        out, oracle = out.unionByName(injected.drop("oracle", "ord")), labels if oracle is None else oracle.unionByName(labels)
+    if a.append:
+        out = stage(jsonl.answers(s, a.answers).drop("ord").unionByName(out), "records")
+    print(jsonl.write_jsonl(out, a.answers), "records")
     if oracle is not None:
         jsonl.merge_labels(jsonl.labels(s, a.labels).where(~F.col("labeler").startswith("oracle:")), oracle, a.labels)
     return 0
@@ -39,10 +62,10 @@ def run(s: SparkSession, a: argparse.Namespace) -> int:
 
 def judge_answers(s: SparkSession, a: argparse.Namespace) -> int:
     name = judge.judge_name(a.judge)
-    if name != judge.LEXICAL:
-        raise SystemExit("a model judge needs a client: use citeloom.operators.judge.judge_with_model")
     old = jsonl.labels(s, a.labels)
-    jsonl.merge_labels(old, judge.judge_claims(judge.pending(_claims(s, a), old, name), name), a.labels)
+    new = judge.pending(_claims(s, a), old, name)
+    said = judge.judge_claims(new, name) if name == judge.LEXICAL else judge.judge_with_model(new, _client(a), name)
+    jsonl.merge_labels(old, said, a.labels)
     return 0
 
 
@@ -83,7 +106,11 @@ def validate(s: SparkSession, a: argparse.Namespace) -> int:
 
 def label(s: SparkSession, a: argparse.Namespace) -> int:
     old, all_claims = jsonl.labels(s, a.labels), _claims(s, a)
-    queue = queueing.prioritise(all_claims, jsonl.questions(s, a.questions), old, a.labeler).join(all_claims.select("claim_id", "text", "snippets"), "claim_id").orderBy("turn", "bucket").limit(a.limit)
+    if a.no_priority:
+        queue = judge.pending(all_claims, old, a.labeler).orderBy("ord", "claim_index").limit(a.limit)
+    else:
+        order = queueing.prioritise(all_claims, jsonl.questions(s, a.questions), old, a.labeler, a.oracle_fraction).orderBy("turn", "bucket").limit(a.limit)
+        queue = order.join(all_claims.select("claim_id", "text", "snippets").dropDuplicates(["claim_id"]), "claim_id").orderBy("turn", "bucket")
     said = queueing.ask_person(queue.toLocalIterator())
     if said:
         jsonl.merge_labels(old, s.createDataFrame([(c, v, a.labeler, "") for c, v in said], jsonl.LABEL), a.labels)
@@ -92,13 +119,20 @@ def label(s: SparkSession, a: argparse.Namespace) -> int:
 
 def export(s: SparkSession, a: argparse.Namespace) -> int:
     sample = queueing.stratified_sample(_claims(s, a), jsonl.questions(s, a.questions), jsonl.labels(s, a.labels), a.limit, a.seed)
-    print(jsonl.write_jsonl(sample, a.out, single=True), "claims")
+    rows = [r.asDict(recursive=True) for r in sample.collect()]  # at most --limit rows
+    with open(a.out, "w", encoding="utf-8") as f:
+        json.dump(rows, f, indent=2, ensure_ascii=False)
+    strata = {("+" in r["engine"], (r["failure_modes"] or [None])[0]) for r in rows}
+    known = sum(r["has_oracle"] for r in rows)
+    print(f"{len(rows)} claims, {known} with an oracle's verdict, {len(rows) - known} without, of {len(strata)} strata")
     return 0
 
 
 def import_verdicts(s: SparkSession, a: argparse.Namespace) -> int:
     good, bad = jsonl.verdict_map(s, a.out)
     bad.show(200, False)
+    if good.isEmpty() and bad.isEmpty():
+        raise ValueError(f"no verdicts at {a.out}")
     rows = queueing.replace_labels(jsonl.labels(s, a.labels), good, a.labeler)
     jsonl.merge_labels(rows.limit(0), rows, a.labels)
     return 0
@@ -112,7 +146,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=COMMANDS)
     for name in ("questions", "answers", "labels", "corpus", "pages", "out"):
         p.add_argument(f"--{name}", default=f"{name}.jsonl" if name != "out" else "report.md")
-    p.add_argument("--engine", choices=["extractive", "lossy"], default="extractive")
+    p.add_argument("--engine", choices=["extractive", "lossy", "rag"], default="extractive")
+    p.add_argument("--client", default="", help="module:factory of the client of a model engine or judge")
+    p.add_argument("--append", action="store_true", help="keep earlier answer records")
+    p.add_argument("--oracle-fraction", type=float, default=0.35)
+    p.add_argument("--no-priority", action="store_true", help="label in the order of the records")
     p.add_argument("--faults", nargs="*", default=[], choices=faults.FAULTS)
     p.add_argument("--widths", nargs="*", type=int, default=[90])
     p.add_argument("--overlap", type=int, default=20)
@@ -131,7 +169,10 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("questions", "answers", "labels", "corpus", "pages", "out"):  # the JVM may have another working folder
         path = getattr(a, name)
         setattr(a, name, path if "://" in path else os.path.abspath(path))
-    return COMMANDS[a.command](SparkSession.builder.appName("citeloom").getOrCreate(), a)
+    session = SparkSession.builder.appName("citeloom").getOrCreate()
+    done = COMMANDS[a.command](session, a)
+    release(session)
+    return done
 
 
 if __name__ == "__main__":

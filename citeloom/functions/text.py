@@ -106,8 +106,78 @@ def percent(c: Column) -> Column:
 
 
 def kappa_reading(c: Column) -> Column:
-    return F.when(c < 0.2, "slight").when(c < 0.4, "fair").when(c < 0.6, "moderate").when(c < 0.8, "substantial").otherwise("almost perfect")
+    return F.when(c < 0.2, "poor").when(c < 0.4, "fair").when(c < 0.6, "moderate").when(c < 0.8, "substantial").otherwise("near-perfect")
 
 
-def engine_name(kind: str, top_k: int, width: int) -> str:
-    return f"{kind}-k{top_k}-c{width}"
+def engine_name(kind: str, top_k: int, width: Column) -> Column:
+    return F.format_string(f"{kind}-k{top_k}-c%d", width)
+
+
+# -- figures, names and their surroundings -------------------------------------------------------------------------
+
+FIGURE = r"\b(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\b"
+YEAR = "^(?:1[89][0-9][0-9]|2[01][0-9][0-9]|2200)$"
+#: Letters and digits beyond ASCII, as a class that Java and RE2 read alike.
+FOREIGN = r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}]"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def masked(c: Column) -> Column:
+    """The text with every foreign letter or digit as ``_``: places stay, and a plain ``\\b`` sees them as parts of words."""
+    return F.regexp_replace(c, FOREIGN, "_")
+
+
+def spots(text: Column, pattern: str) -> Column:
+    """``array<struct<before, token, after>>`` of the matches of an ASCII pattern: what stands before, at and after each."""
+
+    def cut(tokens: Column, rests: Column) -> Column:
+        # length of what precedes match i: the rests 0..i and the tokens 0..i-1
+        upto = lambda i: F.aggregate(F.slice(rests, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda n, x: n + F.length(x))
+        one = lambda t, n: F.struct(F.substring(text, F.lit(1), n).alias("before"), t.alias("token"), F.substring(text, n + F.length(t) + 1, F.length(text)).alias("after"))
+        return F.transform(tokens, lambda t, i: let(upto(i), lambda n: one(t, n)))
+
+    return let(masked(text), lambda m: let(F.regexp_extract_all(m, F.lit(pattern), F.lit(0)), lambda t: let(F.split(m, pattern, -1), lambda r: cut(t, r))))
+
+
+def word_before(before: Column, reach: int) -> Column:
+    """The last ASCII word in the ``reach`` characters before a place, in lower case; "" where there is none."""
+    return F.lower(F.regexp_extract(F.right(before, F.lit(reach)), "([A-Za-z]+)[^A-Za-z]*$", 1))
+
+
+def states_figure(source: Column, figure: Column) -> Column:
+    """Is the figure in the source as a whole token? A neighbouring digit or point makes it another (so a figure before a
+    full stop does not count)."""
+    return F.rlike(source, F.concat(F.lit("(?:^|[^0-9.])"), F.replace(figure, F.lit("."), F.lit("[.]")), F.lit("(?:[^0-9.]|$)")))
+
+
+def replaced_once(text: Column, old: Column, new: Column) -> Column:
+    """``text`` with the first occurrence of ``old`` replaced; unchanged if there is none or ``old`` is empty."""
+    where = F.instr(text, old)
+    return F.when((F.length(old) > 0) & (where > 0), F.concat(F.substring(text, F.lit(1), where - 1), new, F.substring(text, where + F.length(old), F.length(text)))).otherwise(text)
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    return F.when(F.length(part) > 0, F.try_divide(F.length(text) - F.length(F.replace(text, part, F.lit(""))), F.length(part)).cast("int")).otherwise(0)
+
+
+def grouped_digits(value: Column, model: Column) -> Column:
+    """A decimal in the shape of the figure ``model``: thousands grouped as there, a whole value without decimals, others
+    with one."""
+    whole = value == F.floor(value)
+    plain = F.when(whole, F.floor(value).cast("string")).otherwise(F.round(value, 1).cast("decimal(32,1)").cast("string"))
+    commas = F.when(whole, F.format_number(F.floor(value), 0)).otherwise(F.format_number(F.round(value, 1), 1))
+    return F.when(F.contains(model, F.lit(",")), commas).otherwise(plain)
+
+
+def draw(*key: Column) -> Column:
+    """A number in [0, 1) from a hash of the key: the same on every partitioning and in every engine that has MD5."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in key])), F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def drawn(options: Column, u: Column) -> Column:
+    """The option that a draw points at; null where there is none."""
+    return F.get(options, F.floor(u * F.size(options)).cast("int"))

@@ -24,8 +24,8 @@ def best_overlap(tokens: Column, snippets: Column) -> Column:
     return F.struct(F.coalesce(top.overlap, F.lit(0.0)).alias("overlap"), F.when(top.overlap > 0, text).otherwise("").alias("snippet"))
 
 
-def judge_claims(claims: DataFrame, labeler: str = LEXICAL) -> DataFrame:
-    """Labels ``(claim_id, verdict, labeler, rationale, overlap)`` of :func:`claims.claim_rows`.
+def judge_claims(claims: DataFrame, labeler: str = LEXICAL, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Labels ``(claim_id, verdict, labeler, rationale, overlap)`` of :func:`claims.claim_rows`, with its columns ``keys``.
 
     Rules in order: no citation that resolves; no content tokens; figures of the claim in no snippet; negation on one
     side only; overlap. Narrow: one projection, no shuffle and no Python.
@@ -51,7 +51,7 @@ def judge_claims(claims: DataFrame, labeler: str = LEXICAL) -> DataFrame:
         .otherwise(F.concat(F.lit("content-token overlap "), shown))
     )
     overlap = F.when(uncited | empty, F.lit(None).cast("double")).otherwise(over)
-    return facts.select("claim_id", verdict.alias("verdict"), F.lit(labeler).alias("labeler"), why.alias("rationale"), F.round(overlap, 6).alias("overlap"))
+    return facts.select(*keys, "claim_id", verdict.alias("verdict"), F.lit(labeler).alias("labeler"), why.alias("rationale"), F.round(overlap, 6).alias("overlap"))
 
 
 def pending(claims: DataFrame, labels: DataFrame, labeler: str) -> DataFrame:

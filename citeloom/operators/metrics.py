@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +94,7 @@ def precision_recall(cells: DataFrame) -> DataFrame:
 
 def detection(labels: DataFrame) -> DataFrame:
     """Per judge and fault: oracle labels met by the judge, how many with the same verdict, and the rate."""
-    oracle = labels.where(F.col("labeler").startswith("oracle:")).select("claim_id", F.substring_index("labeler", ":", -1).alias("fault"), F.col("verdict").alias("truth"))
+    oracle = labels.where(F.col("labeler").startswith("oracle:")).select("claim_id", F.regexp_replace("labeler", "^oracle:", "").alias("fault"), F.col("verdict").alias("truth"))
     judges = last_label(labels.where(labeler_kind(F.col("labeler")) == "judge"), "labeler")
     met = oracle.join(judges, "claim_id")
     hit = F.count_if(F.col("truth") == F.col("verdict"))
@@ -115,45 +115,34 @@ def labels_needed(half_width: float, confidence_z: float = 1.96, p: float = 0.5)
     return int(confidence_z**2 * p * (1 - p) / half_width**2) + 1
 
 
-def bootstrap_exact(verdicts: list[str], statistic: str = "strict", n_boot: int = 2000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval from one seeded sequence over an ordered pool (small pools, on the driver)."""
-    if not verdicts:
-        return 0.0, 0.0
-    worth = {"strict": {"supported": 1.0}, "lenient": {"supported": 1.0, "partial": 0.5}, "uncited_rate": {"uncited": 1.0}}[statistic]
-    pool = [worth.get(v, 0.0) for v in verdicts]
-    rng, n = random.Random(seed), len(pool)
-    means = sorted(sum(pool[rng.randrange(n)] for _ in range(n)) / n for _ in range(n_boot))
-    alpha = (1 - confidence) / 2
-    return means[int(alpha * n_boot)], means[min(int((1 - alpha) * n_boot), n_boot - 1)]
-
-
 def bootstrap_scores(scores: DataFrame, by: list[str], n_boot: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """``by`` + ``(strict_lo, strict_hi)``: intervals from verdict counts alone, so any number of claims costs the same.
+    """``by`` + ``(strict_lo, strict_hi, lenient_lo, lenient_hi, uncited_lo, uncited_hi)``: percentile intervals.
 
-    A resample of n claims is a binomial draw of the supported ones.
+    A resample of n claims is a multinomial draw of the verdict counts, so any number of claims costs the same; groups of no
+    claims have zeros.
     """
     alpha = (1 - confidence) / 2
-
-    def draw(n: list[int], good: list[int]) -> tuple[list[float], list[float]]:
-        lo, hi = [], []
-        for total, k in zip(n, good, strict=True):
-            means = np.sort(np.random.default_rng(seed).binomial(total, k / total, n_boot) / total) if total else np.zeros(n_boot)
-            lo.append(float(means[int(alpha * n_boot)]))
-            hi.append(float(means[min(int((1 - alpha) * n_boot), n_boot - 1)]))
-        return lo, hi
+    ends = [int(alpha * n_boot), min(int((1 - alpha) * n_boot), n_boot - 1)]
+    columns = [f"{c}_{e}" for c in ("strict", "lenient", "uncited") for e in ("lo", "hi")]
 
     def run(batches):
         for b in batches:
-            b["strict_lo"], b["strict_hi"] = draw(list(b["n"]), list(b["supported"]))
-            yield b[[*by, "strict_lo", "strict_hi"]]
+            out = []
+            for n, counts in zip(b["n"], b[["supported", "partial", "uncited"]].to_numpy(), strict=True):
+                if not n:
+                    out.append([0.0] * len(columns))
+                    continue
+                drawn = np.random.default_rng(seed).multinomial(n, [*(counts / n), max(0.0, 1 - counts.sum() / n)], n_boot) / n
+                out.append([v for x in (drawn[:, 0], drawn[:, 0] + drawn[:, 1] / 2, drawn[:, 2]) for v in np.sort(x)[ends]])
+            yield pd.concat([b[by], pd.DataFrame(out, columns=columns, index=b.index)], axis=1)
 
-    schema = ", ".join([*(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in by), "strict_lo double", "strict_hi double"])
-    return scores.select(*by, "n", "supported").mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in by), *(f"{c} double" for c in columns)])
+    return scores.select(*by, "n", "supported", "partial", "uncited").mapInPandas(run, schema)
 
 
 def totals(questions: DataFrame, answers: DataFrame, claims: DataFrame, labels: DataFrame) -> DataFrame:
     """One row of the report's head counts."""
-    one = [questions.agg(F.countDistinct("id").alias("questions")), answers.agg(F.countDistinct("engine").alias("runs")), claims.agg(F.countDistinct("claim_id").alias("claims")),
+    one = [questions.agg(F.countDistinct("id").alias("questions")), answers.agg(F.count("*").alias("runs")), claims.agg(F.countDistinct("claim_id").alias("claims")),
         labels.agg(F.count("*").alias("labels"), F.count_if(F.col("labeler").startswith("human")).alias("human_labels"), F.count_distinct(F.when(labeler_kind(F.col("labeler")) == "judge", F.col("labeler"))).alias("judges"))]
     return reduce(lambda a, b: a.crossJoin(b), one)  # one row each
 

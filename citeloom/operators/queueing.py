@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.operators.judge import PARTIAL, SUPPORTED, best_overlap, pending
+from citeloom.plans.ranking import places
+from citeloom.plans.staging import stage
 
 
 def ambiguity(overlap: Column) -> Column:
@@ -22,7 +26,7 @@ def claim_ambiguity(claims: DataFrame) -> DataFrame:
 
 
 def prioritise(claims: DataFrame, questions: DataFrame, labels: DataFrame, labeler: str, oracle_fraction: float = 0.35) -> DataFrame:
-    """``(claim_id, mode, ambiguity, known, place)``: the labelling queue.
+    """``(claim_id, mode, ambiguity, known, turn, bucket)``: the labelling queue, in order of turn and bucket.
 
     Claims not yet labelled by ``labeler``; of those with an oracle's verdict only as many, first come, as make up
     ``oracle_fraction``; most ambiguous first within a mode (a claim's mode is the alphabetically first of its
@@ -31,22 +35,18 @@ def prioritise(claims: DataFrame, questions: DataFrame, labels: DataFrame, label
     if not 0 <= oracle_fraction <= 1:
         raise ValueError("oracle_fraction must be in [0, 1]")
     oracle = labels.where(F.col("labeler").startswith("oracle:")).select("claim_id").distinct().withColumn("known", F.lit(True))
-    open_ = claim_ambiguity(pending(claims, labels, labeler)).join(oracle, "claim_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    counts = open_.agg(F.count_if(~F.col("known")).alias("unknown"))
-    cap = F.floor(F.col("unknown") * oracle_fraction / max(1e-9, 1 - oracle_fraction))
-    # the place of a known claim, by a running count over sorted ranges of ord rather than one global window
-    known = open_.where("known")
-    per_ord = known.groupBy("ord").agg(F.count("*").alias("n"))
-    blocks = per_ord.withColumn("block", F.floor(F.col("ord") / 4096))
-    block_start = blocks.groupBy("block").agg(F.sum("n").alias("bn")).withColumn("before", F.sum("bn").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("bn"))
-    starts = blocks.withColumn("inside", F.sum("n").over(Window.partitionBy("block").orderBy("ord")) - F.col("n")).join(block_start.select("block", "before"), "block").select("ord", (F.col("before") + F.col("inside")).alias("at"))
-    ranked = known.withColumn("i", F.row_number().over(Window.partitionBy("ord").orderBy("claim_index", "claim_id"))).join(starts, "ord").crossJoin(F.broadcast(counts))  # one row
-    some = ranked.where((F.col("unknown") == 0) | F.lit(oracle_fraction >= 1) | (F.col("at") + F.col("i") <= cap)).drop("i", "at", "unknown")
-    modes = questions.select(F.col("id").alias("question_id"), F.coalesce(F.array_min("failure_modes"), F.lit("unknown")).alias("mode"))
-    queue = open_.where("not known").unionByName(some).join(modes, "question_id", "left").withColumn("mode", F.coalesce("mode", F.lit("unknown")))
+    modes = questions.select(F.col("id").alias("question_id"), F.array_min("failure_modes").alias("mode"))
+    seen = claim_ambiguity(pending(claims, labels, labeler)).select("claim_id", "question_id", "ord", "claim_index", "ambiguity").join(oracle, "claim_id", "left").join(modes, "question_id", "left")
+    open_ = stage(seen.select("claim_id", "ord", "claim_index", "ambiguity", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("mode", F.lit("unknown")).alias("mode")), "open")
+    unknown = open_.agg(F.count_if(~F.col("known"))).first()[0]
+    queue = open_
+    if unknown and oracle_fraction < 1:
+        first = places(open_.where("known"), [], {}, "ord", ["claim_index", "claim_id"], "place")
+        some = first.where(F.col("place") <= math.floor(unknown * oracle_fraction / (1 - oracle_fraction))).drop("place")
+        queue = stage(open_.where("not known").unionByName(some), "queue")
     sizes = queue.groupBy("mode").agg(F.count("*").alias("n")).withColumn("bucket", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "mode")))
-    turn = F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("ambiguity"), "known", "ord", "claim_index"))
-    return queue.withColumn("turn", turn).join(F.broadcast(sizes.select("mode", "bucket")), "mode").select("claim_id", "mode", "ambiguity", "known", "turn", "bucket")  # at most seven modes
+    turns = places(queue, ["mode"], {"clear": -F.col("ambiguity"), "known": F.col("known")}, "ord", ["claim_index", "claim_id"], "turn")
+    return turns.join(F.broadcast(sizes.select("mode", "bucket")), "mode").select("claim_id", "mode", "ambiguity", "known", "turn", "bucket")  # at most seven modes
 
 
 def stratified_sample(claims: DataFrame, questions: DataFrame, labels: DataFrame, n: int = 60, seed: int = 0) -> DataFrame:
@@ -57,10 +57,12 @@ def stratified_sample(claims: DataFrame, questions: DataFrame, labels: DataFrame
     asked = questions.select(F.col("id").alias("question_id"), F.col("text").alias("question"), "failure_modes")
     rows = claims.join(asked, "question_id").withColumn("family", F.when(F.contains("engine", F.lit("+")), "faulty").otherwise("clean")).withColumn("mode", F.get("failure_modes", F.lit(0)))
     strata = rows.select("family", "mode").distinct().agg(F.count("*").alias("strata"))
-    key = F.xxhash64("claim_id", "ord", F.lit(seed))
-    picked = rows.withColumn("r", F.row_number().over(Window.partitionBy("family", "mode").orderBy(key, "claim_id"))).crossJoin(F.broadcast(strata)).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("strata"))))
+    key = lambda seed: F.md5(F.concat_ws("|", F.lit(seed), "claim_id", "ord"))
+    # the literal bound keeps at most n rows of a stratum per task before the shuffle
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("family", "mode").orderBy(key(seed), "claim_index"))).where(F.col("r") <= n)
+    picked = ranked.crossJoin(F.broadcast(strata)).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("strata"))))  # one row
     oracle = labels.where(F.col("labeler").startswith("oracle:")).select("claim_id").distinct().withColumn("has_oracle", F.lit(True))
-    out = picked.orderBy(F.xxhash64("claim_id", F.lit(seed + 1)), "claim_id", "ord").limit(n).join(oracle, "claim_id", "left")
+    out = picked.orderBy(key(seed + 1), "claim_index").limit(n).join(oracle, "claim_id", "left")
     return out.select("claim_id", "engine", "question", "failure_modes", F.col("text").alias("claim"), F.col("snippets").alias("cited_snippets"), F.coalesce("has_oracle", F.lit(False)).alias("has_oracle"))
 
 

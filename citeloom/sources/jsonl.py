@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.claims import ANSWER
@@ -16,17 +15,31 @@ DOCUMENT = "url string, title string, text string"
 PAGE = "url string, title string, raw string"
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, line, ord)``: lines with their number in their file and their order over all files, by file name.
+
+    Lines are counted per split first; a line's number is its place in the split plus the lines of the splits before.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = read.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    upto = lambda w: F.sum("n").over(w) - F.col("n")
+    placed = splits.select("file", "start", "first", upto(Window.partitionBy("file").orderBy("start")).alias("above"), upto(Window.partitionBy(F.lit(0)).orderBy("file", "start")).alias("before"))  # a row per split
+    at = F.col("id") - F.col("first")
+    return read.join(placed, ["file", "start"]).select("value", "file", (at + F.col("above") + 1).alias("line"), (at + F.col("before")).alias("ord"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a file or folder of JSON lines, with ``ord`` in file order; a missing path is empty, blank lines are
-    skipped, broken lines raise with their text."""
+    skipped, broken lines raise with file, line number and text."""
     empty = spark.createDataFrame([], f"ord long, {schema}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return empty
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
+    lines = _numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    checked = parsed.withColumn("ok", F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: not JSON: "), F.col("value")))).otherwise(True))
-    return checked.where("ok").select("ord", "r.*").drop("_bad")
+    broken = F.raise_error(F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(": not JSON: "), "value"))
+    sound = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), broken).otherwise(F.col("r"))  # whoever reads a field raises first
+    return parsed.select("ord", sound.alias("r")).select("ord", "r.*").drop("_bad")
 
 
 def write_jsonl(df: DataFrame, path: str, single: bool = False) -> int:
@@ -54,8 +67,11 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return _must(df, F.col("verdict").isin(VERDICTS) & F.col("claim_id").isNotNull() & F.col("labeler").isNotNull(), "label needs a claim, a labeler and a known verdict")
 
 
-def answers(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, ANSWER)
+def answers(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
+    df = read_jsonl(spark, path, ANSWER)
+    if required and df.isEmpty():
+        raise ValueError(f"no answers at {path}")
+    return df
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -72,9 +88,13 @@ def merge_labels(existing: DataFrame, new: DataFrame, path: str) -> None:
     spark, tmp = rows.sparkSession, path.rstrip("/") + ".next"
     rows.write.mode("overwrite").json(tmp)
     jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    fs = jvm.Path(path).getFileSystem(conf)
-    fs.delete(jvm.Path(path), True)
-    fs.rename(jvm.Path(tmp), jvm.Path(path))
+    store, old, new = (jvm.Path(p) for p in (path, path.rstrip("/") + ".old", tmp))
+    fs = store.getFileSystem(conf)
+    fs.delete(old, True)
+    if fs.exists(store):  # the old store stays, under a name of its own, until the new one is in place
+        fs.rename(store, old)
+    fs.rename(new, store)
+    fs.delete(old, True)
 
 
 def verdict_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -88,5 +108,3 @@ def verdict_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = each.select("claim_id", F.lower(F.trim(F.coalesce(listed[0], F.col("v")))).alias("verdict"), F.coalesce(F.get(listed, F.lit(1)), F.lit("")).alias("rationale"))
     good = F.coalesce(F.col("verdict").isin(VERDICTS), F.lit(False))
     return rows.where(good), rows.where(~good).select("claim_id", "verdict")
-
-

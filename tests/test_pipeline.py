@@ -4,6 +4,8 @@ import itertools
 import json
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -13,6 +15,8 @@ import __spark_entry__
 from citeloom import queries
 from citeloom.functions import text as tx
 from citeloom.operators import bm25, chunks, claims, engines, faults, ingest, judge, metrics, queueing, report
+from citeloom.plans import staging
+from citeloom.plans.ranking import places
 from citeloom.sources import jsonl
 from citeloom.streaming import judging
 
@@ -27,8 +31,8 @@ def one(spark, column, *texts):
 def test_sentences(spark):
     got = one(spark, tx.sentences, "The U.S. market grew. Then it fell.", "Dr. Smith signed it.", "Really? [1] It did.", "a 3.5 b. c", None)
     assert got == [["The U.S. market grew.", "Then it fell."], ["Dr. Smith signed it."], ["Really?", "[1] It did."], ["a 3.5 b. c"], None]
-    texts = ["The U.S. market grew. Then it fell. (It did.) “Yes.” 3 of them, e.g. Two. Mr. A. B. Cee said no. Fine! ok? Yes", "No end"]
-    assert one(spark, tx.sentences, *texts) == [faults._sentences(t) for t in texts]
+    text = "The U.S. market grew. Then it fell. (It did.) “Yes.” 3 of them, e.g. Two. Mr. A. B. Cee said no. Fine! ok? Yes"
+    assert one(spark, tx.sentences, text, "No end") == [["The U.S. market grew.", "Then it fell.", "(It did.) “Yes.” 3 of them, e.g. Two.", "Mr. A. B. Cee said no. Fine! ok?", "Yes"], ["No end"]]
 
 
 def test_markers_and_numbers(spark):
@@ -115,7 +119,7 @@ def test_chunks(spark):
     for width in (20, 40):
         for i, t in enumerate(texts):
             got = [r.text for r in rows if r.doc_index == i and r.chunk_words == width]
-            assert got == pack(faults._sentences(t), width, 8)
+            assert got == pack([x + "." for x in t.rstrip(".").split(". ")], width, 8)
     plain = [r.text.split() for r in rows if r.doc_index == 902 and r.chunk_words == 40]
     assert plain[0][32:] == plain[1][:8] and plain[-1][-1] == "99" and not any(r.doc_index in (900, 901) for r in rows)
     for bad in (([0], 0), ([10], 10), ([10], -1)):
@@ -160,17 +164,40 @@ def test_registered_validation_asks_every_question(spark, tmp_path):
     assert sorted((r.key, float(r.detail)) for r in found if r.kind == "unanswerable question") == [("q3", 0.0), ("q4", 0.0)]
 
 
-def test_lossy_steps():
-    assert engines.without_qualifier("Revenue was 412 million dollars in fiscal 2024.") == "Revenue was 412 million dollars."
-    assert engines.with_rounded("It was 412 million.", random.Random(0)) == "It was roughly 410 million."
-    assert engines.with_rounded("In March 2025 the Boeing 787 flew.", random.Random(0)) is None
-    assert engines.with_rounded("It sold 7,175 units.", random.Random(0)) == "It sold roughly 7,200 units."
-    assert engines.welded("It grew.", "The company fell.") == "It grew, and the company fell."
+def test_a_model_is_asked_once(spark, index, asked, tmp_path):
+    """One call for each question and width, and answer, time and error of the same call."""
 
+    def client():
+        def call(system, user):
+            with open(tmp_path / "calls", "a", encoding="utf-8") as f:
+                f.write("x")
+            if "storage" in user:
+                raise TimeoutError("late")
+            return "It said so [1]."
 
-def record(answer, snippets, texts, cited):
-    cites = [{"id": f"c{i}", "url": "u", "snippet": s, "title": ""} for i, s in enumerate(snippets)]
-    return faults.Record(answer, cites, [faults.Claim(t, list(c)) for t, c in zip(texts, cited, strict=True)])
+        return call
+
+    got = {r.question_id: r for r in engines.model_rag(index, asked, client, 1).collect()}
+    assert (tmp_path / "calls").read_text() == "x" * 4
+    assert got["q2"].error == "TimeoutError: late" and got["q2"].answer_text == "" and got["q1"].error is None
+    assert got["q1"].claims[0].citation_ids == [got["q1"].citations[0].id] and all(r.latency_s >= 0 for r in got.values())
+
+
+def test_lossy_steps(spark):
+    short = ["Revenue was 412 million dollars in fiscal 2024.", "During the spring, it grew by ten units of gas.", "It grew in 2020.", "It grew in 20201 by a lot of units.", "No scope at all", "Sales rose in 2019, while costs of the plant fell in 2020."]
+    want = ["Revenue was 412 million dollars.", None, None, None, None, "Sales rose, while costs of the plant fell in 2020."]
+    assert one(spark, engines.without_qualifier, *short) == want
+    round_ = ["It was 412 million.", "In March 2025 the Boeing 787 flew.", "It sold 7,175 units.", "It has 7 parts.", "It has 40 parts.", "Of 69,980,000 litres", "At 412.7 bar"]
+    want = ["It was roughly 410 million.", None, "It sold roughly 7,200 units.", None, None, "Of roughly 70,000,000 litres", "At roughly 410 bar"]
+    assert one(spark, lambda t: engines.with_rounded(t, F.lit(0.0)), *round_) == want
+    assert one(spark, lambda t: engines.welded(F.lit("It grew."), t), "The company fell.", "Helion fell.", None) == ["It grew, and the company fell.", "It grew, and Helion fell.", None]
+
+
+def injected(spark, fault, snippets, text, cited=("c0",), answer=None, **kw):
+    cites = [{"id": f"c{i}", "url": "u", "snippet": x, "title": ""} for i, x in enumerate(snippets)]
+    row = (1, "q", "e", text if answer is None else answer, [{"id": "x", "question_id": "q", "text": text, "citation_ids": list(cited)}], cites, None, None)
+    df = spark.createDataFrame([row], f"ord long, question_id string, engine string, answer_text string, claims {claims.CLAIMS}, citations {claims.CITATIONS}, latency_s double, error string")
+    return faults.inject(df, fault, **kw).first()
 
 
 BASE = "Northwind reported revenue of 412 million dollars in fiscal 2024."
@@ -180,28 +207,42 @@ BASE = "Northwind reported revenue of 412 million dollars in fiscal 2024."
     "fault, snippets, text, fires",
     [
         ("numeric-drift", [BASE], BASE, True), ("numeric-drift", ["Other text."], BASE, False), ("numeric-drift", ["up to 240 units"], "It makes up to 240 units.", False), ("numeric-drift", ["It was 412."], "It was 412 units.", False),
+        ("numeric-drift", ["It has 10+ sites"], "It has 10+ sites.", False), ("numeric-drift", ["The Boeing 787 flew"], "The Boeing 787 flew.", False),
         ("wrong-source", [BASE, "Other."], BASE, True), ("wrong-source", [BASE], BASE, False), ("dropped-citation", [BASE], BASE, True), ("padded-claim", [BASE], BASE, True),
         ("entity-swap", ["Northwind Corp reported revenue of 2,500 million dollars. Helion Grid reported revenue of 98 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 2,500 million dollars.", True),
         ("entity-swap", ["Northwind Corp reported revenue of 412 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 412 million dollars.", False),
         ("polarity-flip", ["The audit found no incidents at the Mesa site during the review period."], "The audit found no incidents at the Mesa site during the review period.", True),
         ("polarity-flip", ["The audit found incidents at the Mesa site."], "The audit found no incidents at the Mesa site during the review period.", False),
         ("polarity-flip", ["The audit may have found no incidents at the Mesa site."], "The audit may have found no incidents at the Mesa site.", False),
+        ("polarity-flip", ["The plant is no longer used at the Mesa site."], "The plant is no longer used at the Mesa site.", False),
     ],
 )
-def test_faults(fault, snippets, text, fires):
-    r = record(text, snippets, [text], [["c0"]])
-    fired = faults.inject_one(r, fault, 1.0, random.Random(0))
-    assert bool(fired) is fires
+def test_faults(spark, fault, snippets, text, fires):
+    r = injected(spark, fault, snippets, text)
+    assert bool(r.oracle) is fires
     if not fires:
-        assert r.claims[0].text == text and r.claims[0].cited == ["c0"]
+        assert r.claims[0]["text"] == text and r.answer_text == text and len(r.claims[0].citation_ids) == 1
+
+
+def test_what_faults_write(spark):
+    r = injected(spark, "entity-swap", ["Northwind Corp reported revenue of 2,500 million dollars. Helion Grid reported revenue of 98 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 2,500 million dollars.", answer="First. Northwind Corp reported revenue of 2,500 million dollars [1].")
+    assert r.answer_text == "First. Helion Grid reported revenue of 2,500 million dollars [1]." and r.oracle[0].verdict == "contradicted"
+    r = injected(spark, "polarity-flip", ["The company never disclosed the agreement."], "The company never disclosed the agreement.", answer="The company never disclosed the agreement [1]. It never said.")
+    assert r.claims[0]["text"] == "The company disclosed the agreement." and r.answer_text == "The company disclosed the agreement [1]. It never said."
+    r = injected(spark, "polarity-flip", ["Without a permit the crew built the plant."], "Without a permit the crew built the plant.")
+    assert r.claims[0]["text"] == "With a permit the crew built the plant."
+    r = injected(spark, "numeric-drift", ["It sold 69,980,000 litres"], "It sold 69,980,000 litres.")
+    assert r.claims[0]["text"] in {f"It sold {x} litres." for x in ("75,578,400", "80,477,000", "61,582,400", "57,383,600")} and r.answer_text == r.claims[0]["text"]
+    assert not injected(spark, "dropped-citation", [BASE], BASE, rate=0.0).oracle and not injected(spark, "dropped-citation", [BASE], None, cited=()).oracle
 
 
-def test_fault_helpers():
-    assert [m[1] for m in faults.FIGURE.finditer("69,980,000 then 3,000 and 412")] == ["69,980,000", "3,000", "412"]
-    assert faults.shaped_like(75_000_000, "69,980,000") == "75,000,000" and faults.shaped_like(3.4, "3.1") == "3.4"
-    assert not faults.states("17 nm in 2007", "7") and faults.states("7,175 units", "7")
-    m = next(faults.NEGATION.finditer("The company never disclosed the agreement."))
-    assert faults.affirmed("The company never disclosed the agreement.", m) == "The company disclosed the agreement."
+def test_figures_and_places(spark):
+    token = lambda t: F.transform(tx.spots(t, tx.FIGURE), lambda x: F.concat_ws("|", x.before, x.token, x.after))
+    assert one(spark, token, "69,980,000 then 3,000 and 412", "a12 年12 “7”", "") == [["|69,980,000| then 3,000 and 412", "69,980,000 then |3,000| and 412", "69,980,000 then 3,000 and |412|"], ["a12 年12 “|7|”"], []]
+    shaped = spark.createDataFrame([("75000000", "69,980,000"), ("3.4", "3.1"), ("1234.56", "1,200.5"), ("20", "3.1")], "v string, m string").select(tx.grouped_digits(F.col("v").cast("decimal(30,6)"), F.col("m")).alias("s"))
+    assert [r.s for r in shaped.collect()] == ["75,000,000", "3.4", "1,234.6", "20"]
+    stated = spark.createDataFrame([("17 nm in 2007", "7"), ("7,175 units", "7"), ("It was 412.", "412"), ("at 3.5 bar", "3.5")], "t string, f string").select(tx.states_figure(F.col("t"), F.col("f")).alias("s"))
+    assert [r.s for r in stated.collect()] == [False, True, False, True]
 
 
 def test_injected_records(spark):
@@ -250,10 +291,40 @@ def test_agreement(spark):
     assert metrics.agreement(cells([("supported", "supported", 3)])).first().kappa == 1.0
     assert metrics.agreement(cells([])).first().n == 0
     assert [metrics.labels_needed(h) for h in (0.10, 0.07, 0.05)] == [97, 196, 385]
-    assert metrics.bootstrap_exact(["supported"] * 5) == (1.0, 1.0) and metrics.bootstrap_exact([]) == (0.0, 0.0)
-    exact = metrics.bootstrap_exact(["supported"] * 60 + ["partial"] * 40)
-    scaled = metrics.bootstrap_scores(spark.createDataFrame([("x", 100, 60)], "k string, n long, supported long"), ["k"]).first()
-    assert abs(exact[0] - scaled.strict_lo) < 0.03 and abs(exact[1] - scaled.strict_hi) < 0.03
+    counts = spark.createDataFrame([("x", 100, 60, 40, 0), ("y", 5, 5, 0, 0), ("z", 0, 0, 0, 0)], "k string, n long, supported long, partial long, uncited long")
+    ends = {r.k: r for r in metrics.bootstrap_scores(counts, ["k"]).collect()}
+    worth, rng = [1.0] * 60 + [0.5] * 40, random.Random(0)
+    plain = sorted(sum(rng.choices(worth, k=100)) / 100 for _ in range(2000))
+    assert abs(plain[50] - ends["x"].lenient_lo) < 0.02 and abs(plain[1950] - ends["x"].lenient_hi) < 0.02 and ends["x"].strict_lo < 0.6 < ends["x"].strict_hi
+    assert tuple(ends["y"])[1:3] == (1.0, 1.0) and ends["y"].uncited_hi == 0.0 and set(tuple(ends["z"])[1:]) == {0.0}
+
+
+def test_places(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randint(0, 3), rng.randint(0, 20000), i) for i in range(400)]
+    got = places(spark.createDataFrame(rows, "g string, c int, o long, i int"), ["g"], {"c": -F.col("c")}, "o", ["i"], "place").collect()
+    for g in "ab":
+        order = sorted((-r.c, r.o, r.i) for r in got if r.g == g)
+        assert [(-r.c, r.o, r.i) for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == order and [r.place for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == list(range(1, len(order) + 1))
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError, match="share"):
+        staging.shared_folder(Session)
+    folder = staging.session_folder(spark)
+    staging.stage(spark.range(3), "x")
+    assert any(n.startswith("x-") for n in os.listdir(folder.removeprefix("file://")))
+    code = "from pyspark.sql import SparkSession; from citeloom.plans import staging; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); staging.stage(s.range(2)); print(staging.session_folder(s))"
+    left = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout.strip().splitlines()[-1]
+    assert "staged-" in left and not os.path.exists(left.removeprefix("file://"))
 
 
 def test_queue(spark):
@@ -279,8 +350,18 @@ def test_jsonl(spark, tmp_path):
     assert [r.claim_id for r in jsonl.labels(spark, str(p)).orderBy("ord").collect()] == ["a", "b"]
     assert jsonl.labels(spark, str(tmp_path / "none")).count() == 0
     p.write_text('{"claim_id": broken\n')
-    with pytest.raises(Exception, match="not JSON"):
+    with pytest.raises(Exception, match="labels.jsonl:1: not JSON"):
         jsonl.labels(spark, str(p)).collect()
+    many = tmp_path / "many"
+    many.mkdir()
+    for i, n in enumerate((3, 1, 40)):
+        (many / f"part-{i}.json").write_text("".join(json.dumps({"claim_id": f"{i}-{k}", "verdict": "partial", "labeler": "x"}) + "\n\n" * (k == 1) + "\n" * (k != 1) for k in range(n)))
+    assert [r.claim_id for r in jsonl.labels(spark, str(many)).orderBy("ord").collect()] == [f"{i}-{k}" for i, n in enumerate((3, 1, 40)) for k in range(n)]
+    (many / "part-1.json").write_text('{"claim_id": "a", "verdict": "partial", "labeler": "x"}\n\n{oops\n')
+    with pytest.raises(Exception, match="part-1.json:3: not JSON"):
+        jsonl.labels(spark, str(many)).collect()
+    with pytest.raises(ValueError, match="no answers"):
+        jsonl.answers(spark, str(tmp_path / "none"), required=True)
     p.write_text('{"claim_id": "a", "verdict": "maybe", "labeler": "x"}\n')
     with pytest.raises(Exception, match="known verdict"):
         jsonl.labels(spark, str(p)).collect()
@@ -310,7 +391,7 @@ def test_registered_sql(spark):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
     sql = queries.oracle_sql()
     tidy = lambda rows: sorted((tuple(round(float(v), 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
-    for name in ("text_sentences", "claims_decomposed", "judge_lexical", "bm25_search", "score_leaderboard", "ingest_clean"):
+    for name in ("text_sentences", "claims_decomposed", "judge_lexical", "search_all", "score_leaderboard", "ingest_clean", "chunk_packed", "engine_lossy", "fault_numeric_drift", "fault_polarity_flip", "fault_padded_claim", "queue_prioritised", "source_answers", "validate_problems"):
         df = queries.queries()[name](spark, SF)
         cols = sorted(df.columns)
         got = db.execute(f"SELECT {', '.join(cols)} FROM ({sql[name]})").fetchall()
@@ -319,7 +400,8 @@ def test_registered_sql(spark):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == ["qid", "doc_index", "chunk_index", "score", "rank"]
+    rows = __spark_entry__.entry(spark)
+    assert rows.columns == ["qid", "chunk_words", "doc_index", "chunk_index", "score", "rank"] and rows.count() > 0
     assert all(a < b for a, b in itertools.pairwise(sorted(queries.queries())))
 
 
@@ -338,3 +420,14 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.main(["report"]) == 0 and "## Leaderboard" in (tmp_path / "report.md").read_text()
     assert cli.main(["score-completeness"]) == 0 and cli.main(["disagree"]) == 0
     assert cli.main(["validate"]) == 1
+    n = jsonl.answers(spark, str(tmp_path / "answers.jsonl")).count()
+    (tmp_path / "doubles.py").write_text("def engine():\n    return lambda system, user: 'It is so [1].'\n\n\ndef judge():\n    return lambda prompt: '{\"verdict\": \"partial\", \"rationale\": \"r\"}'\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "doubles.py"))
+    assert cli.main(["run", "--append", "--engine", "rag", "--client", "doubles:engine", "--widths", "10", "90"]) == 0
+    assert jsonl.answers(spark, str(tmp_path / "answers.jsonl")).count() == n + 4
+    assert cli.main(["judge", "--judge", "llm:x", "--client", "doubles:judge"]) == 0
+    assert "judge:llm:x" in {r.labeler for r in jsonl.labels(spark, str(tmp_path / "labels.jsonl")).collect()}
+    assert cli.main(["export", "--out", "sample.json", "--limit", "4"]) == 0 and len(json.loads((tmp_path / "sample.json").read_text())) == 4
+    with pytest.raises(SystemExit, match="client"):
+        cli.main(["run", "--engine", "rag"])
