@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as tx
 from citeloom.operators import bm25, chunks, metrics
 from citeloom.operators.judge import VERDICTS
+from citeloom.plans.staging import spread
 
 # Failure modes in their order.
 MODES = ["simple", "multi_hop", "numeric", "negation", "recency", "contested"]
@@ -43,7 +44,7 @@ def problems(questions: DataFrame, corpus: DataFrame, index: bm25.Index | None =
 
 
 def corpus_index(corpus: DataFrame, width: int = 90, overlap: int = 20) -> bm25.Index:
-    return bm25.build_index(chunks.chunk_documents(corpus, [width], overlap))
+    return bm25.build_index(chunks.chunk_documents(spread(corpus), [width], overlap))
 
 
 def markdown(header: list[str], rows: list[list]) -> str:

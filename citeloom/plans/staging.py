@@ -51,6 +51,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores. A table of fewer, larger files would leave most of them
+    idle in work on texts; one with enough partitions is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete the session's staged tables: call it once the results that rest on them are written."""
     _, hadoop, fs = _session_folder(spark)

@@ -16,7 +16,7 @@ from citeloom.checks import strip as _sql_strip
 from citeloom.checks import tokens as _sql_tokens
 from citeloom.functions import text as tx
 from citeloom.operators import bm25, chunks, claims, engines, faults, ingest, judge, metrics, queueing, report
-from citeloom.plans.staging import session_folder, stage
+from citeloom.plans.staging import session_folder, spread, stage
 from citeloom.sources import jsonl
 from citeloom.sources.tables import table
 
@@ -37,7 +37,7 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
-    return claims.claim_rows(table(s, d, "answers"))
+    return claims.claim_rows(spread(table(s, d, "answers")))
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def bm25_unanswerable(s, d):
 
 
 def bm25_sweep(s, d):
-    return _hits(bm25.search(bm25.build_index(chunks.chunk_documents(table(s, d, "corpus"), [60, 90, 250], 20)), _asked(s, d)))
+    return _hits(bm25.search(bm25.build_index(chunks.chunk_documents(spread(table(s, d, "corpus")), [60, 90, 250], 20)), _asked(s, d)))
 
 
 # -- sources: what is written as JSON lines is read back under the strict schemas -----------------------------------
@@ -365,7 +365,7 @@ def report_markdown(s, d):
     return s.createDataFrame(list(enumerate(text.splitlines())), "line int, markdown string")
 
 
-_NOT_QUERIES = {"table", "stage", "session_folder", "queries", "oracle_sql"}
+_NOT_QUERIES = {"table", "stage", "session_folder", "spread", "queries", "oracle_sql"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
