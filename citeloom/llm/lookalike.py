@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.plans.staging import broadcast_if_small, stage
@@ -66,12 +66,7 @@ def tables() -> dict:
             composed[LOOK_ALIKES.get(a, a) + b] = ch if LOOK_ALIKES.get(a, a) == a else composed.get(LOOK_ALIKES[a] + b) or unicodedata.normalize("NFC", LOOK_ALIKES[a] + b)
             seconds.add(b)
     composed = {k: v for k, v in composed.items() if len(v) == 1}
-    for lead in range(19):  # Hangul: leading consonant and vowel, then the trailing consonant
-        for vowel in range(21):
-            lv = 0xAC00 + (lead * 21 + vowel) * 28
-            composed[chr(0x1100 + lead) + chr(0x1161 + vowel)] = chr(lv)
-            composed |= {chr(lv) + chr(0x11A7 + t): chr(lv + t) for t in range(1, 28)}
-    seconds |= {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    seconds |= {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}  # Hangul vowels and finals
     decomposed |= {chr(c): "" for c in gone} | {chr(c): " " for c in blank} | {chr(c): "\n" for c in breaks} | {k: v for k, v in LOOK_ALIKES.items()}
     decomposed["\r"] = "\n"
     #: A precomposed letter that recomposes to itself needs no work unless a mark follows it.
@@ -113,35 +108,53 @@ def patterns() -> tuple[str, str]:
     return f"{one(moving)}|{one(marks)}{{2}}", f"(?s).?(?:{one(both)}{{2,}}|{one(moving)})"
 
 
+def _char(code: Column) -> Column:
+    """The character of a code point below 0x10000."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
+def _hangul(starter: Column, point: Column) -> Column:
+    """A leading consonant with a vowel, or a syllable without a final with one, as one syllable; else null."""
+    a, b = F.ascii(starter), F.ascii(point)
+    lead = a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175)
+    final = a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2)
+    return F.when(lead, _char(0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28)).when(final, _char(a + b - 0x11A7))
+
+
 def _cluster_forms(clusters: DataFrame) -> DataFrame:
-    """``(cluster, form)`` of distinct clusters: explode to code points, map, order by class, recompose."""
+    """``(cluster, form)`` of distinct clusters: explode to code points, map, order by class, recompose.
+
+    Every point brings what it composes with, a few dozen starters at most, so a step of the recomposition looks into a
+    short list and not into the whole table.
+    """
     spark, t = clusters.sparkSession, tables()
-    mapping = spark.createDataFrame([(k, v, ) for k, v in sorted(t["decomposed"].items())], "ch string, seq string")
-    classes = spark.createDataFrame(sorted(t["classes"].items()), "point string, class int")
-    pairs = spark.createDataFrame([(dict(t["composed"]),)], "composed map<string,string>")
+    by_second: dict[str, str] = {}  # a blank, the starter and the whole, for each
+    for pair, whole in sorted(t["composed"].items()):
+        by_second[pair[-1]] = by_second.get(pair[-1], "") + f" {pair[:-1]}{whole}"
+    mapping = spark.createDataFrame(sorted(t["decomposed"].items()), "ch string, seq string")
+    known = sorted((ch, t["classes"].get(ch, 0), by_second.get(ch, "")) for ch in t["classes"].keys() | by_second.keys())
+    facts = spark.createDataFrame(known, "point string, class int, wholes string")
     points = clusters.select("cluster", F.posexplode(F.regexp_extract_all("cluster", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     mapped = points.join(F.broadcast(mapping), "ch", "left").select("cluster", "pos", F.posexplode(F.regexp_extract_all(F.coalesce("seq", "ch"), F.lit("(?s)."), F.lit(0))).alias("sub", "point"))
     # the tables have a fixed size: broadcast
-    known = mapped.join(F.broadcast(classes), "point", "left").select("cluster", F.struct("pos", "sub", "point", F.coalesce("class", F.lit(0)).alias("class")).alias("p"))
-    spelt = known.groupBy("cluster").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    # number the starters, then order each starter's marks by class, stably
-    numbered = F.aggregate("p", F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<struct<n:int,class:int,pos:int,sub:int,point:string>>)").alias("out")),
-        lambda acc, x: F.struct((acc.n + F.when(x["class"] == 0, 1).otherwise(0)).alias("n"), F.concat(acc.out, F.array(F.struct((acc.n + F.when(x["class"] == 0, 1).otherwise(0)).alias("n"), x["class"].alias("class"), x.pos.alias("pos"), x["sub"].alias("sub"), x.point.alias("point")))).alias("out")), lambda acc: F.array_sort(acc.out))
+    placed = mapped.join(F.broadcast(facts), "point", "left").select("cluster", "pos", "sub", "point", F.coalesce("class", F.lit(0)).alias("class"), F.coalesce("wholes", F.lit("")).alias("wholes"))
+    # starters are numbered in order of place; each starter's marks then stand in order of class, stably
+    so_far = Window.partitionBy("cluster").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.withColumn("n", F.count_if(F.col("class") == 0).over(so_far))
+    ordered = numbered.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("n", "class", "pos", "sub", "point", "wholes"))).alias("p"))
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
 
     def step(acc, x):  # canonical composition
-        joined = F.col("composed")[F.concat(acc.starter, x.point)]
         # a mark combines unless one of its own or a higher class stands between; a starter only if nothing does
         free = (acc.starter != "") & (acc["last"] < x["class"]) & ((x["class"] > 0) | (acc.rest == ""))
-        fits = free & joined.isNotNull()
-        begins = x["class"] == 0
-        return (
-            F.when(fits, F.struct(acc.done.alias("done"), joined.alias("starter"), acc.rest.alias("rest"), acc["last"].alias("last")))
-            .when(begins, F.struct(F.concat(acc.done, acc.starter, acc.rest).alias("done"), x.point.alias("starter"), F.lit("").alias("rest"), F.lit(-1).alias("last")))
+        at = F.instr(x.wholes, F.concat(F.lit(" "), acc.starter))
+        joined = F.when(free, F.when(at > 0, F.substring(x.wholes, at + 2, F.lit(1))).otherwise(_hangul(acc.starter, x.point)))
+        return F.element_at(F.transform(F.array(joined), lambda whole: (
+            F.when(whole.isNotNull(), F.struct(acc.done.alias("done"), whole.alias("starter"), acc.rest.alias("rest"), acc["last"].alias("last")))
+            .when(x["class"] == 0, F.struct(F.concat(acc.done, acc.starter, acc.rest).alias("done"), x.point.alias("starter"), F.lit("").alias("rest"), F.lit(-1).alias("last")))
             .otherwise(F.struct(acc.done.alias("done"), acc.starter.alias("starter"), F.concat(acc.rest, x.point).alias("rest"), x["class"].alias("last")))
-        )
+        )), 1)
 
-    ordered = spelt.select("cluster", numbered.alias("p")).crossJoin(F.broadcast(pairs))  # one row
     forms = ordered.select("cluster", F.aggregate("p", start, step, lambda acc: F.concat(acc.done, acc.starter, acc.rest)).alias("form"))
     # clusters of nothing but invisible characters lose all their points
     return clusters.join(forms, "cluster", "left").select("cluster", F.coalesce("form", F.lit("")).alias("form"))
@@ -186,8 +199,3 @@ def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
     forms = consistent_form(df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text")
     keyed = forms.where(F.trim("form") != "").where(~F.col("form").rlike("^\\s*$")).select("id", F.sha2("form", 256).alias("grp"), F.sha2("text", 256).alias("variant"))
     return pairs_within(stage(keyed.where("id is not null").distinct(), "looks"), differing=True)
-
-
-def form_tables(spark: SparkSession) -> DataFrame:
-    """The look-alike table as a DataFrame: ``(ch, plain)``."""
-    return spark.createDataFrame(sorted(LOOK_ALIKES.items()), "ch string, plain string")
