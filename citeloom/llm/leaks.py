@@ -39,8 +39,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     item_words = consistent_form(items.select(F.col(item_key).alias("item"), F.col(text).alias("t")).where("item is not null"), "t", "f").select("item", words_of(F.col("f")).alias("w")).distinct()
     item_words = stage(item_words.withColumn("h", _shingles(F.col("w"))).where("h is not null"), "items")
     vocabulary = stage(item_words.select(F.explode("h").alias("h")).distinct(), "vocabulary")
-    doc_words = consistent_form(documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("t")).where("doc is not null"), "t", "f").select("doc", words_of(F.col("f")).alias("w"))
-    met = doc_words.where(F.size("w") >= run).select("doc", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("pos", "h")).join(broadcast_if_small(vocabulary, 16), "h", "left_semi")
+    docs = documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("t")).where("doc is not null")
+    worded = lambda rows: consistent_form(rows, "t", "f").select("doc", words_of(F.col("f")).alias("w"))
+    met = worded(docs).where(F.size("w") >= run).select("doc", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("pos", "h")).join(broadcast_if_small(vocabulary, 16), "h", "left_semi")
     met = stage(met.distinct(), "met")  # the documents' shingles that any item has: little is left of the corpus here
     counts = met.groupBy("h").agg(F.count("*").alias("df"))
     spots = item_words.select("item", F.posexplode("h").alias("at", "h")).join(counts, "h")  # a shingle nobody has drops here
@@ -49,8 +50,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     prefixes = windows.groupBy("item", "start").agg(F.count("*").alias("there"), F.min(F.struct("df", "h", "at")).alias("rarest")).where(F.col("there") == per)
     prefixes = stage(prefixes.select("item", "start", F.col("rarest.h").alias("h"), (F.col("rarest.at") - F.col("start")).alias("offset")), "prefixes")
     places = met.join(broadcast_if_small(prefixes, 40), "h").withColumn("from", F.col("pos") - F.col("offset"))
-    places = places.where((F.col("from") >= 0) & (F.col("from") + run <= F.col("n"))).select("doc", "item", "start", "from")
+    places = stage(places.where((F.col("from") >= 0) & (F.col("from") + run <= F.col("n"))).select("doc", "item", "start", "from"), "places")
     # exact check of the words in place
     passages = item_words.where(F.size("w") >= run).select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - run)).alias("start")).select("item", "start", F.slice("w", F.col("start") + 1, F.lit(run)).alias("passage"))
-    hits = doc_words.join(places, "doc").select("doc", "item", "start", F.slice("w", F.col("from") + 1, F.lit(run)).alias("found")).join(passages, ["item", "start"]).where("found = passage")
+    kept = places.select("doc").distinct()
+    again = worded(docs.join(broadcast_if_small(kept, 16), "doc", "left_semi"))  # few documents have a place: only these are read out once more
+    hits = again.join(places, "doc").select("doc", "item", "start", F.slice("w", F.col("from") + 1, F.lit(run)).alias("found")).join(passages, ["item", "start"]).where("found = passage")
     return hits.groupBy("doc", "item").agg(F.countDistinct("start").alias("runs")).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "runs")
