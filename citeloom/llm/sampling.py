@@ -29,12 +29,11 @@ def categorised(samples: DataFrame) -> DataFrame:
 
 
 def quotas(claims: DataFrame, targets: DataFrame, size: Column) -> DataFrame:
-    """One row per target with ``available``, ``wanted``, ``quota``, ``short`` and the sample size ``s``.
+    """One row per target with ``available``, ``wanted``, ``quota`` and the sample size ``s``.
 
     ``wanted`` = permille * s / 1000. Integer quotas: each target gets its floor of ``wanted``, at least ``min_rows``, at
     most ``available``; rows still missing from the size go to the largest remainders with rows to spare, those in excess
-    (through minima) are taken from the smallest remainders above their minimum. ``short``: fewer available than
-    ``min_rows`` or than ``wanted``. What stays unplaced after every target with spare rows gave one more is reported by
+    (through minima) are taken from the smallest remainders above their minimum. What stays unplaced after every target with spare rows gave one more is reported by
     the sum of quotas against ``s``. Null permille or min_rows count as zero. Targets are few; they and the counts are small.
     """
     counts = claims.groupBy("engine_key", "failure_mode").agg(F.count("*").alias("available"))
@@ -59,8 +58,7 @@ def quotas(claims: DataFrame, targets: DataFrame, size: Column) -> DataFrame:
     rounds = rounds.withColumn("extra", F.greatest(F.lit(0), F.least("spare", F.col("more") - before)))
     change = F.col("unit") + F.col("extra")
     quota = F.when(F.col("left") > 0, F.col("base") + change).otherwise(F.col("base") - change)
-    return rounds.select("engine", "failure_mode", "engine_key", "target_permille", "min_rows", "s", "available", (wanted / 1000).alias("wanted"), quota.cast("long").alias("quota"),
-        ((F.col("available") < F.col("min_rows")) | (1000 * F.col("available") < wanted)).alias("short"))
+    return rounds.select("engine", "failure_mode", "engine_key", "target_permille", "min_rows", "s", "available", (wanted / 1000).alias("wanted"), quota.cast("long").alias("quota"))
 
 
 def smallest_keys(rows: DataFrame, key: str, category: list[str], quota: DataFrame, seed: int = 0, bins: int = BINS) -> DataFrame:
@@ -69,8 +67,8 @@ def smallest_keys(rows: DataFrame, key: str, category: list[str], quota: DataFra
     The random key is a hash of ``key`` and ``seed``, ties go by ``key``. Whole bins below the one in which the quota
     falls are taken as they are; only that bin is ranked.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    keyed = rows.select(key, *category, h.alias("__h"), F.floor(F.pmod(h, F.lit(1 << 40)) / ((1 << 40) // bins)).cast("int").alias("__bin")).withColumn("__h", F.pmod("__h", F.lit(1 << 40)))
+    h = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), F.lit(10)), 16, 10).cast("long")  # 40 bits
+    keyed = rows.select(key, *category, h.alias("__h"), F.floor(h / ((1 << 40) // bins)).cast("int").alias("__bin"))
     counts = keyed.groupBy(*category, "__bin").agg(F.count("*").alias("__n"))
     cum = Window.partitionBy(*category).orderBy("__bin")  # at most ``bins`` rows a category
     cut = counts.withColumn("__upto", F.sum("__n").over(cum)).join(F.broadcast(quota.select(*category, F.col("quota").alias("__q"))), category)
@@ -82,12 +80,19 @@ def smallest_keys(rows: DataFrame, key: str, category: list[str], quota: DataFra
 
 
 def proportional_sample(samples: DataFrame, targets: DataFrame, share: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sample, report). ``sample``: ``(claim_id, engine_key, failure_mode)``; ``report``: see :func:`quotas`.
+    """(sample, report), both staged. ``sample``: ``(claim_id, engine_key, failure_mode)``; ``report``: see :func:`quotas`,
+    with ``drawn``, the rows of the sample, and ``short`` where all that is there would not do.
 
     The size is a ``share``-th of the distinct claims, rounded down; claims of null engine or no mode count in it but are
     in no category. Null claim ids are left out. Empty tables give an empty sample.
     """
+    category = ["engine_key", "failure_mode"]
     claims = stage(categorised(samples), "claims")
-    report = stage(quotas(claims, targets, F.floor(F.count("*") / share)), "quotas")
-    wanted = report.groupBy("engine_key", "failure_mode").agg(F.max("quota").alias("quota"))
-    return smallest_keys(claims.where("engine_key is not null and failure_mode is not null"), "claim_id", ["engine_key", "failure_mode"], wanted, seed), report
+    asked = stage(quotas(claims, targets, F.floor(F.count("*") / share)), "quotas")
+    wanted = asked.groupBy(*category).agg(F.max("quota").alias("quota"))
+    sample = stage(smallest_keys(claims.where("engine_key is not null and failure_mode is not null"), "claim_id", category, wanted, seed), "sample")
+    drawn = sample.groupBy(*category).agg(F.count("*").alias("drawn"))
+    report = asked.join(drawn, category, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    # what the category still has beside the rows drawn could not make up for what they lack
+    lacks = F.greatest(F.col("min_rows"), F.ceil("wanted")) - F.col("drawn")
+    return sample, stage(report.withColumn("short", lacks > F.col("available") - F.col("drawn")), "report")
