@@ -12,14 +12,14 @@ from citeloom.sources.tables import table
 
 
 def p1_found(s: SparkSession, d: str) -> DataFrame:
-    claims = sampling.categorised(table(s, d, "sample_batch1"))
-    report = sampling.quotas(claims, table(s, d, "sample_targets"), F.floor(F.count("*") / 5))
+    """The categories that the report of the drawn sample marks as short."""
+    _, report = sampling.proportional_sample(table(s, d, "sample_batch1"), table(s, d, "sample_targets"))
     return report.where("short").select("engine", "failure_mode").distinct()
 
 
 def p1_report(s: SparkSession, d: str) -> DataFrame:
     _, report = sampling.proportional_sample(table(s, d, "sample_batch1"), table(s, d, "sample_targets"))
-    return report.select("engine", "failure_mode", "available", F.round("wanted", 3).alias("wanted"), "quota", "short")
+    return report.select("engine", "failure_mode", "available", F.round("wanted", 3).alias("wanted"), "quota", "drawn", "short")
 
 
 def p1_sample(s: SparkSession, d: str) -> DataFrame:
@@ -83,8 +83,8 @@ def p7_leaks(s: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
-    sized = mixing.sized_documents(table(s, d, "documents"))
-    _, report = mixing.entropy_balanced(table(s, d, "documents"), table(s, d, "mix_targets"), sized=sized)
+    """The sources whose share in the mixture stays below the target with every row at its cap."""
+    _, report = mixing.entropy_balanced(table(s, d, "documents"), table(s, d, "mix_targets"))
     return report.where("short").select("source").distinct()
 
 
@@ -121,7 +121,18 @@ def oracle_sql() -> dict[str, str]:
           WHERE claim_id IS NOT NULL GROUP BY 1),
         n AS (SELECT e, m, count(*) AS available FROM c WHERE e IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2),
         s AS (SELECT count(*) // 5 AS s FROM c)"""
+    quotas = categories + """,
+        f AS (SELECT DISTINCT engine, failure_mode, replace(lower(trim(engine)), '_', '-') AS e, coalesce(target_permille, 0) AS tp, coalesce(min_rows, 0) AS mr FROM sample_targets),
+        b AS (SELECT f.*, coalesce(available, 0) AS av, s.s, tp * s.s AS w, least(coalesce(available, 0), greatest(mr, tp * s.s // 1000)) AS base FROM f CROSS JOIN s LEFT JOIN n ON n.e = f.e AND n.m = failure_mode),
+        l AS (SELECT *, least((sum(w) OVER () + 999) // 1000, s) - sum(base) OVER () AS gap FROM b),
+        r AS (SELECT *, CASE WHEN gap > 0 THEN av - base ELSE greatest(0, base - least(av, mr)) END AS room, CASE WHEN gap > 0 THEN -(w % 1000) ELSE w % 1000 END AS turn FROM l),
+        o AS (SELECT *, CASE WHEN room > 0 AND sum((room > 0)::INT) OVER (ORDER BY turn, engine, failure_mode ROWS UNBOUNDED PRECEDING) <= abs(gap) THEN 1 ELSE 0 END AS unit FROM r),
+        x AS (SELECT *, abs(gap) - sum(unit) OVER () AS more, room - unit AS spare, sum(room - unit) OVER (ORDER BY turn, engine, failure_mode ROWS UNBOUNDED PRECEDING) - (room - unit) AS taken FROM o),
+        q AS (SELECT *, (base + CASE WHEN gap > 0 THEN 1 ELSE -1 END * (unit + greatest(0, least(spare, more - taken))))::BIGINT AS quota FROM x)"""
     return {
+        "p1_report": quotas + " SELECT engine, failure_mode, av AS available, round(w / 1000, 3) AS wanted, quota, quota AS drawn, av < mr OR 1000 * av < w AS short FROM q",
+        "p1_sample": quotas + """, k AS (SELECT claim_id, e AS engine_key, m AS failure_mode, row_number() OVER (PARTITION BY e, m ORDER BY left(md5('0|' || claim_id), 10), claim_id) AS i FROM c WHERE e IS NOT NULL AND m IS NOT NULL)
+        SELECT claim_id, engine_key, k.failure_mode FROM k JOIN (SELECT DISTINCT e, failure_mode, quota FROM q) q ON q.e = engine_key AND q.failure_mode = k.failure_mode WHERE i <= quota""",
         "p1_found": categories + """
         SELECT DISTINCT engine, failure_mode FROM sample_targets t CROSS JOIN s
         LEFT JOIN n ON n.m = t.failure_mode AND n.e = replace(lower(trim(t.engine)), '_', '-')

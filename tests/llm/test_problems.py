@@ -1,6 +1,7 @@
 """The nine problems against brute force, exact round trips and stated cases."""
 
 import collections
+import hashlib
 import itertools
 import random
 import unicodedata
@@ -213,6 +214,19 @@ def test_consensus_beats_a_majority(spark):
     assert empty.count() == 0
 
 
+def test_consensus_of_large_claims(spark, monkeypatch):
+    """Claims too large for an array are decided by rows, with the same result."""
+    rng = random.Random(9)
+    rows = [(i, f"c{rng.randint(0, 40)}", rng.choice(consensus.VERDICTS[:3]), f"l{rng.randint(0, 30)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "ord long, claim_id string, verdict string, labeler string")
+    tidy = lambda found: sorted((r.claim_id, r.verdict, r.n_labelers, r.votes_for, round(r.agreement or 0, 9), round(r.confidence, 9)) for r in found.collect())
+    want = tidy(consensus.truth_discovery(df)[0])
+    monkeypatch.setattr(consensus, "ARRAY_VOTES", 12)
+    assert tidy(consensus.truth_discovery(df)[0]) == want and max(r[2] for r in want) > 12 > min(r[2] for r in want)
+    with pytest.warns(UserWarning, match="still change"):
+        consensus.truth_discovery(df, max_steps=1)
+
+
 # -- 1 ------------------------------------------------------------------------------------------------------------
 
 
@@ -236,8 +250,8 @@ def test_smallest_keys(spark, n, q, bins):
     df = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("c").alias("cat"))
     quota = spark.createDataFrame([("c", q)], "cat string, quota long")
     got = {r.key for r in sampling.smallest_keys(df, "key", ["cat"], quota, 7, bins).collect()}
-    order = df.select("key", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 40)).alias("h")).orderBy("h", "key").limit(q)
-    assert got == {r.key for r in order.collect()} and len(got) == q
+    order = sorted((r.key for r in df.collect()), key=lambda k: (hashlib.md5(f"7|{k}".encode()).hexdigest()[:10], k))
+    assert got == set(order[:q]) and len(got) == q
 
 
 def test_split_takes_an_early_sentence_end():
@@ -262,11 +276,20 @@ def test_mixture(spark):
     facts = {r.source: r for r in report.collect()}
     assert [s for s, r in facts.items() if r.short] == ["d"]
     for s, want in (("a", 500), ("b", 200), ("c", 250)):
-        assert abs(facts[s].permille_of_goal - want) < 25, facts[s]
+        assert abs(facts[s].permille_of_goal - want) < 0.01 * want, facts[s]
     cap = {"a": 2, "b": 1, "c": 1, "d": 3}
     got = copies.collect()
     assert all(1 <= r.copies <= cap[r.src] for r in got) and len({r.doc for r in got}) == len(got)
     assert mixing.entropy_balanced(docs.limit(0), targets)[0].count() == 0
+    same = {r.doc: r.copies for r in got}
+    assert same == {r.doc: r.copies for r in mixing.entropy_balanced(docs.repartition(7), targets)[0].collect()}
+
+
+def test_unsettled_mixture_is_reported(spark):
+    hist = spark.createDataFrame([("a", 9, 300.0, 10, 5), ("a", 9, 300.0, 90, 1)], "src string, max_repeats int, goal double, tokens long, count long")
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.multipliers(hist, 1)
+    assert mixing.multipliers(hist.withColumn("goal", F.lit(1e6)))["a"][0] == np.inf
 
 
 def test_mixture_is_tilted_by_size(spark):
@@ -287,7 +310,7 @@ def test_mixture_is_tilted_by_size(spark):
     docs = [(i, " word" * (10 if i % 2 else 300), "s") for i in range(2000)] + [(9000 + i, " word" * 310, "rest") for i in range(500)]
     copies, report = mixing.entropy_balanced(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("s", 400, 2)], "source string, target_permille int, max_repeats int"))
     drawn = collections.Counter(r.doc % 2 for r in copies.collect())
-    assert drawn[1] > 930 and drawn[0] < 650 and abs(report.first().permille_of_goal - 400) < 25
+    assert drawn[1] > 930 and drawn[0] < 650 and abs(report.first().permille_of_goal - 400) < 4
 
 
 # -- 2 ------------------------------------------------------------------------------------------------------------
