@@ -147,6 +147,17 @@ def test_near_pairs_like_brute_force(spark):
     assert neardups.near_pairs(df.limit(0), "id", "t").count() == 0
 
 
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, rng.integers(5, 900)).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        assert neardups.least_difference(neardups.sketch(a), neardups.sketch(b)) <= apart
+    far = rng.integers(0, 2**63, (2, 600)).astype(np.uint64)
+    assert neardups.least_difference(*map(neardups.sketch, far)) > 400
+
+
 def test_near_pairs_of_the_corpus(spark):
     docs = spark.read.parquet(f"{SF}/corpus.parquet").select("doc_index", "text")
     rows = [(r.doc_index, r.text) for r in docs.collect()]
