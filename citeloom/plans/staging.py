@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured rows x width stay under this many bytes.
@@ -64,9 +64,11 @@ def release(spark: SparkSession) -> None:
     fs.delete(hadoop, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if ``count * row_bytes`` is within ``limit``; else leave the join to a shuffle.
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the rows take no more than ``limit`` bytes; else leave the join to a shuffle.
 
-    ``df`` should be a staged table, so that counting it is cheap.
+    ``row_bytes``: what a row takes at most, or a column that says so for each. ``df`` should be a staged table, so that
+    measuring it is cheap.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
