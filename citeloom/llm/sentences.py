@@ -1,10 +1,14 @@
 """Sentence boundaries across languages and scripts.
 
 Spaced scripts: one scan finds candidate terminators (mark run, closers, citation markers), each classified by the token
-before the gap and the word after it. Thai: words around each blank come from a word lattice (cheapest path), and the gap
-is classified through final particles on its left and opening words on its right. Chinese and Japanese are cut at their
-marks; a lattice is used only after a closing quotation mark. Lao, Khmer and Burmese have no words of their own here. A
-line break always ends a unit.
+before the gap and the word after it. Thai and Lao: the stretches on both sides of a blank are cut into words by a lattice
+(cheapest path), and the blank ends a unit only on evidence: a final particle on its left or an opening word on its right.
+Chinese and Japanese are cut at their marks; after a closing quotation mark a lattice over the clause that follows tells
+whether the sentence around the quotation goes on. Khmer and Burmese are cut at their marks. A line break always ends a
+unit. Nothing is looked for within a fixed number of characters only.
+
+The words here are those that decide. A general word list for the lattices, so that these are not found inside longer
+words, can be given (:func:`load_words`); there is none on the box, and an unknown stretch is then a path of characters.
 """
 
 from __future__ import annotations
@@ -18,17 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.plans.staging import spread
+
 LINE_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 INVISIBLE = "​‌‍⁠﻿­‎‏"
 BLANK = f"(?:[^\\S\n\r\x0b\x0c\x85  ]|[{INVISIBLE}])"
 MARKER = r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]"
 
 #: Marks that end a sentence without a following blank (ideographic, Indic, Khmer, Burmese) and those that need one.
-WIDE_MARKS = "。！？｡．।॥។៕၊။"
+WIDE_MARKS = "。！？｡．।॥។៕။"
 NARROW_MARKS = ".!?…؟۔‼⁇⁈⁉"
 CLOSERS = "\"'”’»›)]}」』）】》〉〕］｣"
 OPENERS = "\"'“‘„‚«‹([{¿¡「『（【《〈〔［｢"
-CONTINUING = ",;:，；：、،؛·"
+CONTINUING = ",;:，；：、،؛·၊"
 _QUOTE_PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "‘": "’", "《": "》"}
 
 _CANDIDATE = re.compile(
@@ -38,8 +44,8 @@ _CANDIDATE = re.compile(
 )
 #: Blank and invisible characters that a unit neither starts nor ends with.
 _EDGE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + INVISIBLE
-_THAI_GAP = re.compile(f"(?<=[\u0e01-\u0e4e\u0e81-\u0ece])(?:{BLANK})+(?=[\u0e01-\u0e4e\u0e81-\u0ece])")
-_THAI_LIKE = re.compile("[\u0e01-\u0e4e\u0e81-\u0ece]")
+_SPACELESS_GAP = re.compile(f"(?<=[\u0e01-\u0e4e\u0e81-\u0ece])(?:{BLANK})+(?=[\u0e01-\u0e4e\u0e81-\u0ece])")
+_SPACELESS = re.compile("[\u0e01-\u0e4e\u0e81-\u0ece]")
 _SPACE = re.compile(rf"(?:{BLANK})+")
 _WORD = re.compile(r"[^\W_]+(?:[.'’\-][^\W_]+)*", re.UNICODE)
 
@@ -56,14 +62,17 @@ BEFORE_FIGURE = frozenset("no jan feb mar apr jun jul aug sep sept oct nov dec p
 MONTHS_DE = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = frozenset("am vom zum im bis ab seit der die das dem den des".split())
 
-# Words of the spaceless scripts' lattices.
-TH_OPEN = frozenset(
-    """บริษัท การ ความ ผู้ โรงงาน ระหว่าง ก่อน หลัง ตาม ใน เมื่อ แต่ อย่างไรก็ตาม นอกจาก เนื่องจาก ดังนั้น ปัจจุบัน
-    ต่อมา ทั้งนี้ สำหรับ เขา เรา มัน รัฐบาล นาย นาง โดยรวม ขณะที่ จากนั้น อีกทั้ง หาก ถ้า""".split()
+# Words of the spaceless scripts' lattices, Thai and then Lao: words that open a sentence, that go on with
+# one, that expect something after them, and particles that close one.
+OPENING = frozenset(
+    """บริษัท การ ความ ผู้ โรงงาน ระหว่าง ก่อน หลัง ตาม ใน เมื่อ แต่ อย่างไรก็ตาม นอกจาก นอกจากนี้ เนื่องจาก ดังนั้น ปัจจุบัน ต่อมา
+    ทั้งนี้ สำหรับ เขา เธอ เรา ฉัน ผม พวกเขา มัน รัฐบาล นาย นาง นางสาว โดยรวม ขณะที่ จากนั้น อีกทั้ง หาก ถ้า แม้ เพราะฉะนั้น สุดท้าย
+    ส่วน ทั้งหมด ทุกคน หลายคน วันนี้ เมื่อวาน ปีนี้ ปีที่แล้ว
+    ແຕ່ ດັ່ງນັ້ນ ຫຼັງຈາກ ກ່ອນ ເມື່ອ ຖ້າ ນອກຈາກ ບໍລິສັດ ລັດຖະບານ ການ ຄວາມ ພວກເຮົາ ພວກເຂົາ ຂ້ອຍ ປັດຈຸບັນ ມື້ນີ້""".split()
 )
-TH_GOES_ON = frozenset("และ หรือ ที่ ซึ่ง อัน ของ เพื่อ กับ ให้ ว่า ๆ ฯลฯ คือ เป็น จน ต่อ แห่ง ราว ประมาณ เปอร์เซ็นต์".split())
-TH_EXPECTS = frozenset("และ หรือ ว่า คือ ได้แก่ เช่น ของ ที่ ซึ่ง ราว ประมาณ เกือบ กว่า นาย นาง นางสาว ดร เลขที่".split())
-TH_FINAL = frozenset("ครับ ค่ะ คะ นะ เลย แล้ว นั้น นี้ ก่อน ด้วย จริง".split())
+GOING_ON = frozenset("และ หรือ ที่ ซึ่ง อัน ของ เพื่อ กับ ให้ ว่า ๆ ฯลฯ คือ เป็น จน ต่อ แห่ง ราว ประมาณ เปอร์เซ็นต์ ແລະ ຫຼື ທີ່ ຊຶ່ງ ຂອງ ເພື່ອ ກັບ ໃຫ້ ວ່າ ຄື ເປັນ".split())
+EXPECTING = frozenset("และ หรือ ว่า คือ ได้แก่ เช่น ของ ที่ ซึ่ง ราว ประมาณ เกือบ กว่า นาย นาง นางสาว ดร เลขที่ ແລະ ຫຼື ວ່າ ຄື ໄດ້ແກ່ ເຊັ່ນ ຂອງ ທີ່ ຊຶ່ງ ປະມານ ທ້າວ ນາງ".split())
+FINAL = frozenset("ครับ ค่ะ คะ นะ เลย แล้ว นั้น นี้ ก่อน ด้วย จริง ແລ້ວ ເດີ ນັ້ນ ນີ້ ດ້ວຍ".split())
 JA_QUOTATIVE = frozenset("と って という といった とは との とも などと".split())
 JA_GOES_ON = frozenset("が を に で は も の へ から まで や など".split())
 ZH_SPEECH = frozenset("问道 说道 答道 喊道 写道 叹道 说 问 道 答 喊 表示 指出 回答 强调 补充 称 補充道 問道 說道 說 表示道 解释 解释道 补充道".split())
@@ -97,29 +106,48 @@ def _ideographic(ch: str) -> bool:
     return "々" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "豈" <= ch <= "﫿" or "ｦ" <= ch <= "ﾟ" or ch >= "\U00020000"
 
 
-def _thai_gap(line: str, at: int, end: int) -> bool:
-    """Does the blank at ``line[at:end]`` between Thai letters end a sentence?"""
-    left = lattice(line[max(0, at - 18) : at], _lexicon(TH_EXPECTS, TH_FINAL, TH_OPEN))
-    right = lattice(line[end : end + 24], _lexicon(TH_OPEN, TH_GOES_ON))
-    if left and left[-1] in TH_FINAL:
-        return True
-    if right and right[0] in TH_OPEN:
-        return True
-    return not (right and right[0] in TH_GOES_ON or left and left[-1] in TH_EXPECTS)
+_EXTRA: list[frozenset] = []
+_STRETCH_END = re.compile(BLANK)
+_CLAUSE_END = re.compile(r"[。！？，；：、,;:!?「」『』“”]")
+
+
+def load_words(path: str | None) -> None:
+    """Take the words of a file, one a line, into the lattices of this process; None takes them out again."""
+    _EXTRA.clear()
+    if path:
+        with open(path, encoding="utf-8") as f:
+            _EXTRA.append(frozenset(w for line in f if (w := line.strip())))
+
+
+def _stretch_before(line: str, start: int, at: int) -> str:
+    """What stands between the last blank in ``line[start:at]`` and ``at``."""
+    i = at
+    while i > start and not _STRETCH_END.match(line[i - 1]):
+        i -= 1
+    return line[i:at]
+
+
+def _spaceless_gap(line: str, start: int, at: int, end: int) -> bool:
+    """Does the blank at ``line[at:end]`` between Thai or Lao letters end a sentence? Only on evidence."""
+    following = _STRETCH_END.search(line, end)
+    left = lattice(_stretch_before(line, start, at), _lexicon(EXPECTING, FINAL, OPENING, GOING_ON, *_EXTRA))
+    right = lattice(line[end : following.start() if following else len(line)], _lexicon(OPENING, GOING_ON, *_EXTRA))
+    if left and left[-1] in EXPECTING or right and right[0] in GOING_ON:
+        return False
+    return bool(left and left[-1] in FINAL or right and right[0] in OPENING)
 
 
 def _quoted_goes_on(line: str, start: int, end: int, closer: str) -> bool:
     """After a closing quote in a spaceless script: does the sentence around the quotation go on?"""
-    right = line[end : end + 24]
-    if not right:
+    stop = _CLAUSE_END.search(line, end)
+    clause = line[end : stop.start() if stop else len(line)]
+    if not clause:
         return False
-    first = lattice(right, _lexicon(JA_QUOTATIVE, JA_GOES_ON))[0]
-    if closer in "」』" and (first in JA_QUOTATIVE or first in JA_GOES_ON):
+    words = lattice(clause, _lexicon(JA_QUOTATIVE, JA_GOES_ON, *_EXTRA))
+    if closer in "」』" and (words[0] in JA_QUOTATIVE or words[0] in JA_GOES_ON):
         return True
     if line[start : start + 1] in "“‘「『\"":  # the quotation opened the sentence: a reporting clause may follow
-        clause = re.split(r"[。！？，；：、,;:!?]", line[end : end + 40])[0]
-        words = lattice(clause, _lexicon(ZH_SPEECH))
-        return len(clause) < 30 and bool(words) and words[-1] in ZH_SPEECH
+        return lattice(clause, _lexicon(ZH_SPEECH, *_EXTRA))[-1] in ZH_SPEECH
     return False
 
 
@@ -134,14 +162,12 @@ def _inside_quotation(line: str, start: int, at: int) -> bool:
             stack.append((_QUOTE_PAIRS[ch], i))
         elif ch == '"':
             stack.append(('"', i))
-    return any(opened > start and line.find(close, at, at + 600) >= 0 for close, opened in stack)
+    return any(opened > start and line.find(close, at) >= 0 for close, opened in stack)
 
 
 def _before(line: str, start: int, at: int) -> str:
     """The token that ends at ``at``, without opening marks."""
-    token = line[max(start, at - 40) : at]
-    token = re.split(BLANK, token)[-1]
-    return token.lstrip(OPENERS)
+    return _stretch_before(line, start, at).lstrip(OPENERS)
 
 
 def _point_ends(line: str, start: int, at: int, word: str, figure: bool) -> bool:
@@ -210,13 +236,13 @@ def _cuts(line: str) -> Iterator[tuple[int, int]]:
     """Places in a line where a unit ends and the next may begin."""
     start = pos = 0
     marks: Iterator[re.Match] = _CANDIDATE.finditer(line)
-    if _THAI_LIKE.search(line):
-        marks = iter(sorted([*marks, *_THAI_GAP.finditer(line)], key=lambda x: x.start()))
+    if _SPACELESS.search(line):
+        marks = iter(sorted([*marks, *_SPACELESS_GAP.finditer(line)], key=lambda x: x.start()))
     for m in marks:
         if m.start() < pos:
             continue
-        if m.re is _THAI_GAP:
-            if _thai_gap(line, m.start(), m.end()):
+        if m.re is _SPACELESS_GAP:
+            if _spaceless_gap(line, start, m.start(), m.end()):
                 start = pos = m.end()
                 yield m.start(), start
             continue
@@ -258,35 +284,38 @@ def segment(text: str) -> list[tuple[int, int]]:
 UNITS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
 
 
-@F.pandas_udf(UNITS)
-def _units(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start_char": a, "end_char": b} for a, b in segment(t)] if t else [])
-
-
-def sentence_units(text: Column | str) -> Column:
+def sentence_units(text: Column | str, words: str | None = None) -> Column:
     """``array<struct<start_char,end_char>>`` of the units of a text column.
 
     Offsets are code points of the stored text, outer blanks included; ``end_char`` is the end of the unit's last
-    visible character. Null and blank texts give an empty array. Pure function of the text: no state, no order.
+    visible character. Null and blank texts give an empty array. Pure function of the text: no state, no order. ``words``
+    names a file of words for the lattices, one a line, that every executor can read.
     """
-    return _units(F.col(text) if isinstance(text, str) else text)
+
+    @F.pandas_udf(UNITS)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        load_words(words)
+        for texts in batches:
+            yield texts.map(lambda t: [{"start_char": a, "end_char": b} for a, b in segment(t)] if t else [])
+
+    return cut(F.col(text) if isinstance(text, str) else text)
 
 
-def explode_units(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+def explode_units(df: DataFrame, text: str, keys: list[str], words: str | None = None) -> DataFrame:
     """One row per unit: ``keys``, ``unit`` (0-based), ``start_char``, ``end_char``, ``sentence``.
 
     Rows whose text is null or blank give no row; repeated rows give repeated units; other columns are dropped, so
     their names cannot clash. Narrow: no shuffle.
     """
     t = F.col(f"`{text}`")
-    cut = df.select(*[F.col(f"`{k}`") for k in keys], t.alias("__text"), sentence_units(t).alias("__units"))
+    cut = df.select(*[F.col(f"`{k}`") for k in keys], t.alias("__text"), sentence_units(t, words).alias("__units"))
     return cut.select(*[F.col(f"`{k}`") for k in keys], "__text", F.posexplode("__units").alias("unit", "__u")).select(
         *[F.col(f"`{k}`") for k in keys], "unit", "__u.start_char", "__u.end_char",
         F.substring(F.col("__text"), F.col("__u.start_char") + 1, F.col("__u.end_char") - F.col("__u.start_char")).alias("sentence"),
     )
 
 
-def units_of_tables(corpus: DataFrame, samples: DataFrame) -> DataFrame:
+def units_of_tables(corpus: DataFrame, samples: DataFrame, words: str | None = None) -> DataFrame:
     """Units of ``corpus.text`` and of every entry of ``sample_batch1.cited_snippets``.
 
     Columns: src_table, rec_key, piece, unit, start_char, end_char, sentence. Identical rows exported twice are
@@ -294,4 +323,4 @@ def units_of_tables(corpus: DataFrame, samples: DataFrame) -> DataFrame:
     """
     pages = corpus.select(F.lit("corpus").alias("src_table"), F.col("doc_index").cast("string").alias("rec_key"), F.lit(0).alias("piece"), F.col("text").alias("body"))
     snippets = samples.select("claim_id", "cited_snippets").distinct().select(F.lit("sample_batch1").alias("src_table"), F.col("claim_id").alias("rec_key"), F.posexplode("cited_snippets").alias("piece", "body"))
-    return explode_units(pages.unionByName(snippets), "body", ["src_table", "rec_key", "piece"])
+    return explode_units(spread(pages.unionByName(snippets)), "body", ["src_table", "rec_key", "piece"], words)
