@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.sentences import segment
+from citeloom.plans.staging import spread
 
 NOTHING, SPACE, SENTENCE, LINE, PARAGRAPH = range(5)
+#: Characters whose pieces a worker holds before it hands them on.
+HELD = 4_000_000
 
 
 def strengths(text: str, units: list[tuple[int, int]]) -> np.ndarray:
@@ -75,20 +78,25 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 2000, overl
 
     ``cut`` names the strength of the cut at the piece's end (0 within a word .. 4 paragraph); ``longest_unit`` is the
     length of the text's longest sentence unit: above ``limit``, cutting between units cannot suffice. Null and short
-    texts give no row; repeated rows give repeated pieces; other columns are ignored. Narrow: texts stay in their task.
+    texts give no row; repeated rows give repeated pieces; other columns are ignored. Narrow, but for spreading few files.
     """
     if not 0 <= overlap <= limit // 4:
         raise ValueError("overlap must be between 0 and a quarter of limit")
     schema = T.StructType([T.StructField("k", df.schema[key].dataType), *[T.StructField(c, T.IntegerType()) for c in ("piece", "start_char", "end_char", "cut", "longest_unit")], T.StructField("piece_text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in schema]
         for batch in batches:
-            out = []
+            out, held = [], 0
             for k, t in zip(batch["k"], batch["t"], strict=True):
                 units = segment(t)
                 longest = max((b - a for a, b in units), default=0)
                 out += [(k, i, a, b, c, longest, t[a:b]) for i, (a, b, c) in enumerate(split_text(t, units, limit, overlap))]
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
+                held += len(t)
+                if held > HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
-    long = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > limit)
+    long = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.length("t") > limit)
     return long.mapInPandas(run, schema).withColumnRenamed("k", key)
