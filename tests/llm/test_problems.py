@@ -46,6 +46,27 @@ def test_units(text, want):
     assert len(cut(text)) == want, cut(text)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("เขาชอบกินผลไม้ เช่น มะม่วง กล้วย ส้ม และ องุ่น", 1), ("เขาชอบกินผลไม้ มะม่วง กล้วย", 1), ("ฝนตกหนักมาก ดังนั้นเขาไม่มา", 2), ("က၊ ခ၊ ဂ။", 1), ("ຝົນຕົກໜັກ ດັ່ງນັ້ນພວກເຮົາບໍ່ໄດ້ໄປ", 2), ("ខ្ញុំទៅ។ គាត់មក។", 2),
+        ("He wrote: “" + "It was good. " * 80 + "It was.” Then he left.", 2), ("他说：“" + "很好。" * 300 + "”完了。", 2),
+    ],
+)
+def test_units_on_evidence(text, want):
+    """Lists and clauses within a sentence go on; quotations of any length hold together."""
+    assert len(cut(text)) == want, cut(text)
+
+
+def test_words_for_the_lattice(spark, tmp_path):
+    text = "ฝนตกหนักมาก ในที่สุดเขาก็มา"  # the opening word stands at the start of a longer one
+    assert len(cut(text)) == 2
+    (tmp_path / "words").write_text("ในที่สุด\n", encoding="utf-8")
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.size(sentences.sentence_units("t", str(tmp_path / "words")))).first()[0] == 1
+    assert df.select(F.size(sentences.sentence_units("t"))).first()[0] == 2
+
+
 def test_units_cover_what_is_visible():
     for text in ["A b. C d!\n[1] E", "真的。[3]在，“好？”他说。", "x" * 50_000 + ". Y" * 2000]:
         units = sentences.segment(text)
@@ -360,6 +381,23 @@ def test_all_defects(answer, question, want):
     assert answers.defects(answer, question) == want
 
 
+@pytest.mark.parametrize(
+    "answer, question, want",
+    [
+        ("I am sorry for the delay; the plant opened in 1990.", "When did the plant open?", []), ("I’m sorry to say the plant closed in 1990.", "When did it close?", []), ("I'm sorry. It opened in 1990.", "When did it open?", []),
+        ("I'm sorry. I cannot answer that.", "When did it open?", ["refusal"]), ("Non, désolé.", "Quand la ligne a-t-elle ouvert ?", ["refusal"]), ("Es tut mir leid, dazu sage ich nichts, das darf ich nicht.", "Wann wurde die Anlage eröffnet?", ["refusal"]),
+        ("Riga", "Where is it?", []), ("Vilnius and Riga", "Where are they?", []), ("Berlin, Germany", "Where is it?", []), ("The crew of Wole Wor", "What did Wole Works do?", ["truncated"]), ("Wole Wor", "What did Wole Works do?", ["truncated"]),
+        ("La centrale è stata aperta nel 1990 ed è ancora in funzione.", "When was the power station opened and is it still used?", ["wrong_language"]),
+        ("A central foi aberta em 1990 e ainda não está em funcionamento.", "When was the power station opened and is it still used?", ["wrong_language"]),
+        ("De centrale werd in 1990 geopend en is nog niet in gebruik.", "When was the power station opened and is it still used?", ["wrong_language"]),
+        ("La planta se abrió en 1990 y todavía está en uso.", "¿Cuándo se abrió la planta?", []), ("La centrale a été ouverte en 1990 par l’exploitant, qui y a ajouté une", "When was it opened and by whom?", ["truncated", "wrong_language"]),
+        ("N/A", "Why?", ["empty"]),
+    ],
+)
+def test_defects_beyond_the_planted(answer, question, want):
+    assert answers.defects(answer, question) == want
+
+
 def test_flagged(spark):
     q = spark.createDataFrame([(1, "q", "Why was it shut?"), (2, "q", "Other"), (3, None, "x")], "ord long, id string, text string")
     a = spark.createDataFrame([(1, "q", None, None), (2, "q", "Why was it shut?", "policy"), (3, "zz", "No comment.", None), (4, "q", "It was shut for the winter.", "policy"), (4, "q", "It was shut for the winter.", "policy")], "ord long, question_id string, answer_text string, error string")
