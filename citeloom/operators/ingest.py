@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +39,46 @@ def cleaned_pages(pages: DataFrame, order: str, url: str, title: str, raw: str)
     return rows.withColumn("n_words", n).withColumn("thin", n < MIN_WORDS)
 
 
+#: Words of a sketch, 64 slots each. More slots tell larger sets apart; any number is exact.
+SKETCH_WORDS = 4
+
+
+def _sketch(tokens: Column) -> tuple[list[Column], Column]:
+    """(words over a column ``bits``, that column): the parity of the number of tokens per hash slot, as bits. Two sets
+    differ in no fewer members than their sketches in bits."""
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(64 * SKETCH_WORDS))
+    bits = F.transform(tokens, lambda t: F.struct(F.floor(slot(t) / 64).cast("int").alias("word"), F.element_at(F.lit([1 << i if i < 63 else -(1 << 63) for i in range(64)]), (slot(t) % 64 + 1).cast("int")).alias("bit")))
+
+    def word(w: int) -> Column:
+        return F.aggregate(F.filter("bits", lambda x: x.word == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x.bit)).alias(f"k{w}")
+
+    return [word(w) for w in range(SKETCH_WORDS)], bits
+
+
 def near_token_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(a, b)``, ``a < b``: classes of documents whose token sets have a Jaccard similarity of at least ``threshold``.
 
     ``docs``: ``(cls, tokens)``, distinct token sets. Prefix-filtered set join: tokens in order of rarity, of a set of n
-    the first n - ceil(t * n) + 1 are its prefix, sizes must be within t; candidates are verified on the sets. Empty
-    sets match nothing. Rarity joins tokens by a shuffle; no side is broadcast.
+    the first n - ceil(t * n) + 1 are its prefix, sizes must be within t, positions must leave enough tokens to share, and
+    sketches must not differ in more bits than near sets in members; all that is tested within the join, before anything
+    is shuffled. Candidates are verified on the sets. Empty sets match nothing. Rarity joins tokens by a shuffle; no side
+    is broadcast.
     """
     docs = docs.where(F.size("tokens") > 0)
     exploded = docs.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.count("*").alias("df"))
     ordered = exploded.join(df, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = stage(ordered.select("cls", "n", F.posexplode(F.slice("o.token", F.lit(1), keep.cast("int"))).alias("pos", "token")), "prefix")
-    x, y = prefix.select("token", *[F.col(c).alias(c + "x") for c in ("cls", "n", "pos")]), prefix.select("token", *[F.col(c).alias(c + "y") for c in ("cls", "n", "pos")])
-    need = F.ceil(threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9)
-    met = x.join(y.hint("shuffle_merge"), "token").where("clsx < clsy").where((F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= need - F.least("posx", "posy")))
+    words, bits = _sketch(F.col("o.token"))
+    sketched = ordered.withColumn("bits", bits).select("cls", "n", F.slice("o.token", F.lit(1), keep.cast("int")).alias("p"), *words)
+    names = [f"k{w}" for w in range(SKETCH_WORDS)]
+    prefix = stage(sketched.select("cls", "n", *names, F.posexplode("p").alias("pos", "token")), "prefix")
+    side = lambda v: prefix.select("token", *[F.col(c).alias(c + v) for c in ("cls", "n", "pos", *names)])
+    x, y = side("x"), side("y")
+    both_n = F.col("nx") + F.col("ny")
+    need = F.ceil(threshold / (1 + threshold) * both_n - 1e-9)
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{k}x").bitwiseXOR(F.col(f"{k}y"))) for k in names])
+    met = x.join(y.hint("shuffle_merge"), "token").where("clsx < clsy").where((F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= need - F.least("posx", "posy")) & (differ <= both_n - 2 * need))
     pairs = met.select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct()
     sets = pairs.join(docs.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(docs.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
