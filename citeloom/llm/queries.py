@@ -109,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for DuckDB. Segmenting, splitting, look-alike forms, token sizes and language rules are beyond it."""
+    """SQL for DuckDB. Segmenting, splitting, look-alike forms, truth discovery and language rules are beyond it."""
     votes = """
         WITH v AS (
           SELECT claim_id, lower(trim(labeler, ' ' || chr(9) || chr(10) || chr(160))) AS labeler, lower(trim(verdict, ' ' || chr(9) || chr(10) || chr(160))) AS verdict, ord FROM labels
@@ -143,6 +143,20 @@ def oracle_sql() -> dict[str, str]:
         n AS (SELECT doc_index, count(*) AS n FROM g GROUP BY 1),
         p AS (SELECT x.doc_index AS a, y.doc_index AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.doc_index < y.doc_index GROUP BY 1, 2)
         SELECT a AS doc_index_a, b AS doc_index_b FROM p JOIN n x ON x.doc_index = a JOIN n y ON y.doc_index = b WHERE 10 * common >= 7 * (x.n + y.n - common)""",
+        "p5_groups": r"""
+        WITH RECURSIVE t AS (SELECT doc_index, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS b FROM corpus WHERE text IS NOT NULL),
+        g AS (SELECT DISTINCT doc_index, substr(b, i, 5) AS s FROM (SELECT doc_index, b, unnest(range(1, length(b) - 3)) AS i FROM t)),
+        n AS (SELECT doc_index, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT x.doc_index AS a, y.doc_index AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.doc_index <> y.doc_index GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, p.b FROM p JOIN n x ON x.doc_index = a JOIN n y ON y.doc_index = p.b WHERE 10 * common >= 7 * (x.n + y.n - common)
+          UNION SELECT x.doc_index, y.doc_index FROM t x JOIN t y ON x.b = y.b AND x.doc_index <> y.doc_index),
+        r(v, l) AS (SELECT doc_index, doc_index FROM t UNION SELECT e.b, l FROM r JOIN e ON e.a = v WHERE l < e.b),
+        c AS (SELECT v, min(l) AS grp FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+        SELECT doc_index, min(doc_index) OVER (PARTITION BY b) AS cls, grp, coalesce(n_links, 0) AS n_links, doc_index = grp AS keep FROM t JOIN c ON v = doc_index LEFT JOIN d ON d.a = doc_index""",
+        # a token a byte: which common tokenizer counts makes no difference to the answer
+        "p8_found": r"""
+        WITH d AS (SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(160))) AS s, strlen(text) AS n FROM documents), m AS (SELECT s, sum(n) AS have FROM d GROUP BY 1)
+        SELECT DISTINCT source FROM mix_targets t LEFT JOIN m ON m.s = lower(trim(t.source)) WHERE 1000 * max_repeats * coalesce(have, 0) < target_permille * (SELECT sum(n) FROM d)""",
         "p4_alpha": votes + """,
         k AS (SELECT claim_id, verdict, count(*) AS c FROM w GROUP BY 1, 2),
         u AS (SELECT claim_id, sum(c) AS m, sum(c * (c - 1)) AS same FROM k GROUP BY 1 HAVING sum(c) > 1),
