@@ -128,8 +128,8 @@ def test_chunks(spark):
 
 
 CORPUS = [
-    (0, "n", "Northwind", "Northwind reported revenue of 412 million dollars in fiscal 2024. It runs 47 distribution centres across the region."),
-    (1, "h", "Helion", "Helion Grid operates storage of 240 megawatt-hours. The audit found no incidents at the Mesa site during the review period."),
+    (0, "n", "Aldermoor", "Aldermoor reported revenue of 412 million dollars in fiscal 2024. It runs 47 distribution centres across the region."),
+    (1, "h", "Tressel", "Tressel Grid operates storage of 240 megawatt-hours. The audit found no incidents at the Quarry site during the review period."),
 ]
 
 
@@ -140,7 +140,7 @@ def index(spark):
 
 @pytest.fixture(scope="module")
 def asked(spark):
-    return spark.createDataFrame([("q1", "What revenue did Northwind report in fiscal 2024?"), ("q2", "How much storage does Helion Grid operate?"), ("q3", "the and of"), ("q4", "zebra xylophone")], "qid string, text string")
+    return spark.createDataFrame([("q1", "What revenue did Aldermoor report in fiscal 2024?"), ("q2", "How much storage does Tressel Grid operate?"), ("q3", "the and of"), ("q4", "zebra xylophone")], "qid string, text string")
 
 
 def test_search_and_engines(spark, index, asked):
@@ -148,7 +148,7 @@ def test_search_and_engines(spark, index, asked):
     assert {(r.qid, r.doc_index) for r in hits} == {("q1", 0), ("q2", 1)}
     assert {r.qid for r in bm25.unanswerable(index, asked).collect()} == {"q3", "q4"}
     said = {r.question_id: r for r in engines.extractive(index, asked, 1).collect()}
-    assert said["q1"].answer_text == "Northwind reported revenue of 412 million dollars in fiscal 2024 [1]."
+    assert said["q1"].answer_text == "Aldermoor reported revenue of 412 million dollars in fiscal 2024 [1]."
     assert said["q1"].claims[0].citation_ids == [said["q1"].citations[0].id] and said["q4"].answer_text == engines.NOTHING_FOUND
     again = engines.lossy(index, asked.repartition(3), 1).select("question_id", "answer_text")
     assert sorted(again.collect()) == sorted(engines.lossy(index, asked, 1).select("question_id", "answer_text").collect())
@@ -158,7 +158,7 @@ def test_search_and_engines(spark, index, asked):
 
 def test_registered_validation_asks_every_question(spark, tmp_path):
     spark.createDataFrame(CORPUS, "doc_index long, url string, title string, text string").write.parquet(str(tmp_path / "corpus.parquet"))
-    rows = [(3, "q1", "What revenue did Northwind report in fiscal 2024?"), (4, "q3", "the and of"), (7, "q4", "zebra xylophone"), (9, "q4", "zebra xylophone")]
+    rows = [(3, "q1", "What revenue did Aldermoor report in fiscal 2024?"), (4, "q3", "the and of"), (7, "q4", "zebra xylophone"), (9, "q4", "zebra xylophone")]
     spark.createDataFrame([(*r, ["numeric"], None) for r in rows], "ord long, id string, text string, failure_modes array<string>, aspects array<string>").write.parquet(str(tmp_path / "questions.parquet"))
     found = queries.queries()["validate_problems"](spark, str(tmp_path)).collect()
     assert sorted((r.key, float(r.detail)) for r in found if r.kind == "unanswerable question") == [("q3", 0.0), ("q4", 0.0)]
@@ -190,7 +190,7 @@ def test_lossy_steps(spark):
     round_ = ["It was 412 million.", "In March 2025 the Boeing 787 flew.", "It sold 7,175 units.", "It has 7 parts.", "It has 40 parts.", "Of 69,980,000 litres", "At 412.7 bar"]
     want = ["It was roughly 410 million.", None, "It sold roughly 7,200 units.", None, None, "Of roughly 70,000,000 litres", "At roughly 410 bar"]
     assert one(spark, lambda t: engines.with_rounded(t, F.lit(0.0)), *round_) == want
-    assert one(spark, lambda t: engines.welded(F.lit("It grew."), t), "The company fell.", "Helion fell.", None) == ["It grew, and the company fell.", "It grew, and Helion fell.", None]
+    assert one(spark, lambda t: engines.welded(F.lit("It grew."), t), "The company fell.", "Tressel fell.", None) == ["It grew, and the company fell.", "It grew, and Tressel fell.", None]
 
 
 def injected(spark, fault, snippets, text, cited=("c0",), answer=None, **kw):
@@ -200,7 +200,7 @@ def injected(spark, fault, snippets, text, cited=("c0",), answer=None, **kw):
     return faults.inject(df, fault, **kw).first()
 
 
-BASE = "Northwind reported revenue of 412 million dollars in fiscal 2024."
+BASE = "Aldermoor reported revenue of 412 million dollars in fiscal 2024."
 
 
 @pytest.mark.parametrize(
@@ -209,12 +209,12 @@ BASE = "Northwind reported revenue of 412 million dollars in fiscal 2024."
         ("numeric-drift", [BASE], BASE, True), ("numeric-drift", ["Other text."], BASE, False), ("numeric-drift", ["up to 240 units"], "It makes up to 240 units.", False), ("numeric-drift", ["It was 412."], "It was 412 units.", False),
         ("numeric-drift", ["It has 10+ sites"], "It has 10+ sites.", False), ("numeric-drift", ["The Boeing 787 flew"], "The Boeing 787 flew.", False),
         ("wrong-source", [BASE, "Other."], BASE, True), ("wrong-source", [BASE], BASE, False), ("dropped-citation", [BASE], BASE, True), ("padded-claim", [BASE], BASE, True),
-        ("entity-swap", ["Northwind Corp reported revenue of 2,500 million dollars. Helion Grid reported revenue of 98 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 2,500 million dollars.", True),
-        ("entity-swap", ["Northwind Corp reported revenue of 412 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 412 million dollars.", False),
-        ("polarity-flip", ["The audit found no incidents at the Mesa site during the review period."], "The audit found no incidents at the Mesa site during the review period.", True),
-        ("polarity-flip", ["The audit found incidents at the Mesa site."], "The audit found no incidents at the Mesa site during the review period.", False),
-        ("polarity-flip", ["The audit may have found no incidents at the Mesa site."], "The audit may have found no incidents at the Mesa site.", False),
-        ("polarity-flip", ["The plant is no longer used at the Mesa site."], "The plant is no longer used at the Mesa site.", False),
+        ("entity-swap", ["Aldermoor Corp reported revenue of 2,500 million dollars. Tressel Grid reported revenue of 98 million dollars.", "Tressel Grid is large."], "Aldermoor Corp reported revenue of 2,500 million dollars.", True),
+        ("entity-swap", ["Aldermoor Corp reported revenue of 412 million dollars.", "Tressel Grid is large."], "Aldermoor Corp reported revenue of 412 million dollars.", False),
+        ("polarity-flip", ["The audit found no incidents at the Quarry site during the review period."], "The audit found no incidents at the Quarry site during the review period.", True),
+        ("polarity-flip", ["The audit found incidents at the Quarry site."], "The audit found no incidents at the Quarry site during the review period.", False),
+        ("polarity-flip", ["The audit may have found no incidents at the Quarry site."], "The audit may have found no incidents at the Quarry site.", False),
+        ("polarity-flip", ["The plant is no longer used at the Quarry site."], "The plant is no longer used at the Quarry site.", False),
     ],
 )
 def test_faults(spark, fault, snippets, text, fires):
@@ -225,8 +225,8 @@ def test_faults(spark, fault, snippets, text, fires):
 
 
 def test_what_faults_write(spark):
-    r = injected(spark, "entity-swap", ["Northwind Corp reported revenue of 2,500 million dollars. Helion Grid reported revenue of 98 million dollars.", "Helion Grid is large."], "Northwind Corp reported revenue of 2,500 million dollars.", answer="First. Northwind Corp reported revenue of 2,500 million dollars [1].")
-    assert r.answer_text == "First. Helion Grid reported revenue of 2,500 million dollars [1]." and r.oracle[0].verdict == "contradicted"
+    r = injected(spark, "entity-swap", ["Aldermoor Corp reported revenue of 2,500 million dollars. Tressel Grid reported revenue of 98 million dollars.", "Tressel Grid is large."], "Aldermoor Corp reported revenue of 2,500 million dollars.", answer="First. Aldermoor Corp reported revenue of 2,500 million dollars [1].")
+    assert r.answer_text == "First. Tressel Grid reported revenue of 2,500 million dollars [1]." and r.oracle[0].verdict == "contradicted"
     r = injected(spark, "polarity-flip", ["The company never disclosed the agreement."], "The company never disclosed the agreement.", answer="The company never disclosed the agreement [1]. It never said.")
     assert r.claims[0]["text"] == "The company disclosed the agreement." and r.answer_text == "The company disclosed the agreement [1]. It never said."
     r = injected(spark, "polarity-flip", ["Without a permit the crew built the plant."], "Without a permit the crew built the plant.")
@@ -410,7 +410,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
 
     monkeypatch.chdir(tmp_path)
     (tmp_path / "corpus.jsonl").write_text("".join(json.dumps({"url": u, "title": t, "text": x * 2}) + "\n" for _, u, t, x in CORPUS))
-    (tmp_path / "questions.jsonl").write_text("".join(json.dumps({"id": f"q{i}", "text": t, "failure_modes": ["numeric"], "aspects": ["412"]}) + "\n" for i, t in enumerate(["What revenue did Northwind report in fiscal 2024?", "How much storage does Helion Grid operate?"])))
+    (tmp_path / "questions.jsonl").write_text("".join(json.dumps({"id": f"q{i}", "text": t, "failure_modes": ["numeric"], "aspects": ["412"]}) + "\n" for i, t in enumerate(["What revenue did Aldermoor report in fiscal 2024?", "How much storage does Tressel Grid operate?"])))
     monkeypatch.setattr(cli, "SparkSession", type("S", (), {"builder": type("B", (), {"appName": staticmethod(lambda n: type("G", (), {"getOrCreate": staticmethod(lambda: spark)}))})}))
     assert cli.main(["run", "--faults", "dropped-citation"]) == 0
     assert cli.main(["judge"]) == 0 and cli.main(["judge"]) == 0
