@@ -1,6 +1,7 @@
 """The nine problems against brute force, exact round trips and stated cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -137,8 +138,14 @@ def test_leaks_like_brute_force(spark):
 # -- 5 ------------------------------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=None)
+def grams(text):
+    body = " ".join(text.lower().split())
+    return frozenset(body[i : i + 5] for i in range(len(body) - 4))
+
+
 def near(a, b):
-    a, b = ({" ".join(t.lower().split())[i : i + 5] for i in range(len(" ".join(t.lower().split())) - 4)} for t in (a, b))
+    a, b = grams(a), grams(b)
     return bool(a | b) and 10 * len(a & b) >= 7 * len(a | b)
 
 
